@@ -270,11 +270,7 @@ def rollup_l1_day(spark, d):
     return _rounded(rollup.downsample(model.event_points(spark, d), DAY, ("labels",)), "avg", "p99")
 
 
-_Ldef _nudged(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.col(n) + 1e-9 for n in names})
-
-
-PTS = """WITH pts AS (SELECT 'linestatus=' || l_linestatus || ',returnflag=' || l_returnflag AS labels, epoch_us(l_shipdate) // 1000 AS ts_ms,
+_LPTS = """WITH pts AS (SELECT 'linestatus=' || l_linestatus || ',returnflag=' || l_returnflag AS labels, epoch_us(l_shipdate) // 1000 AS ts_ms,
   l_extendedprice AS value FROM lineitem)"""
 
 
