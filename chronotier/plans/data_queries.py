@@ -5,6 +5,101 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import consolidation
+from ..operators import regrid as grid_ops
+from ..operators import trailing as trailing_ops
+from ..session import table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        Q[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql.strip()
+        return f
+
+    return add
+
+
+# ---- 3: totals over trailing periods
+
+_DAILY = """WITH r AS (SELECT DISTINCT * FROM rollup_buckets WHERE level IN (1, 2)), d AS (SELECT series_id, bucket_start // 86400000 AS day,
+  sum(coalesce(count, 0)) AS n, sum(avg * count) FILTER (isfinite(avg)) AS total, sum(count) FILTER (isfinite(avg)) AS weight FROM r GROUP BY 1, 2),
+  span AS (SELECT series_id, min(day) AS lo, max(day) AS hi FROM d GROUP BY 1), spine AS (SELECT series_id, unnest(range(lo, hi + 1)) AS day FROM span)"""
+
+
+def _over(n: int) -> str:
+    return f"(PARTITION BY series_id ORDER BY day ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+@query(_DAILY + f""" SELECT series_id, strftime(DATE '1970-01-01' + day::INTEGER, '%Y-%m-%d') AS day_utc,
+  CAST(sum(coalesce(n, 0)) OVER {_over(7)} AS BIGINT) AS count_7, round(sum(total) OVER {_over(7)} / nullif(sum(weight) OVER {_over(7)}, 0) + 1e-9, 6) AS avg_7,
+  CAST(sum(coalesce(n, 0)) OVER {_over(30)} AS BIGINT) AS count_30, round(sum(total) OVER {_over(30)} / nullif(sum(weight) OVER {_over(30)}, 0) + 1e-9, 6) AS avg_30
+  FROM spine LEFT JOIN d USING (series_id, day)""")
+def p3_trailing(spark, d):
+    t = trailing_ops.trailing(table(spark, d, "rollup_buckets"))
+    return t.select("series_id", "day_utc", "count_7", F.round(F.col("avg_7") + 1e-9, 6).alias("avg_7"), "count_30", F.round(F.col("avg_30") + 1e-9, 6).alias("avg_30"))
+
+
+@query(_DAILY + """, a AS (SELECT series_id, day, lead(day) OVER (PARTITION BY series_id ORDER BY day) AS next FROM d WHERE n > 0)
+  SELECT series_id, strftime(DATE '1970-01-01' + unnest(range(day + 7, next))::INTEGER, '%Y-%m-%d') AS day_utc FROM a
+  WHERE next - day - 1 BETWEEN 7 AND 19""")
+def p3_found(spark, d):
+    return trailing_ops.silent_weeks(trailing_ops.trailing(table(spark, d, "rollup_buckets")))
+
+
+# ---- 5: a regular grid
+
+_SLOTS = """WITH k AS (SELECT DISTINCT series_id, step_ms, ts_ms, ts_ms - ts_ms % step_ms AS slot FROM points JOIN series USING (series_id) WHERE isfinite(value)),
+  n AS (SELECT *, lead(ts_ms) OVER w AS next_ts, lead(slot) OVER w AS next_slot FROM k WINDOW w AS (PARTITION BY series_id ORDER BY ts_ms))"""
+
+
+@query(_SLOTS + """, o AS (SELECT series_id, ts_ms - ts_ms % step_ms AS slot_ms, arg_max(value, (ts_ms, seq, value)) AS value FROM points
+  JOIN series USING (series_id) WHERE isfinite(value) GROUP BY 1, 2) SELECT series_id, slot_ms, value, 'observed' AS status FROM o UNION ALL
+  SELECT series_id, unnest(range(slot + step_ms, next_slot, step_ms)), NULL, CASE WHEN next_ts - ts_ms <= 21600000 THEN 'filled' ELSE 'missing' END
+  FROM n WHERE next_ts - ts_ms <= 259200000""")
+def p5_slots(spark, d):
+    """All slots with their status, and the values that were observed (interpolated ones are tested against numpy)."""
+    g = grid_ops.regrid(table(spark, d, "points"), table(spark, d, "series"))
+    return g.withColumn("value", F.when(F.col("status") == "observed", F.col("value")))
+
+
+@query()
+def p5_regular(spark, d):
+    return grid_ops.regrid(table(spark, d, "points"), table(spark, d, "series"))
+
+
+@query(_SLOTS + """ SELECT series_id, unnest(range(slot + step_ms, next_slot, step_ms)) AS slot_ms FROM n WHERE next_ts - ts_ms <= 259200000""")
+def p5_found(spark, d):
+    return grid_ops.missing_slots(grid_ops.regrid(table(spark, d, "points"), table(spark, d, "series")))
+
+
+# ---- 2: far too many small files
+
+_LIVE_POINTS = r"""WITH live AS (SELECT DISTINCT CAST(regexp_extract(filename, '(\d+)\.blk\s*$', 1) AS BIGINT) AS block_id FROM manifest
+  WHERE level = 0 AND regexp_matches(filename, '\d+\.blk\s*$')), p AS (SELECT DISTINCT series_id, ts_ms, value, block_id FROM points SEMI JOIN live USING (block_id))"""
+
+
+@query(_LIVE_POINTS + """, m AS (SELECT block_id, series_id, ts_ms, coalesce(value, 1e308) AS value FROM p), n AS (SELECT block_id, count(*) AS n FROM m GROUP BY 1),
+  c AS (SELECT a.block_id AS a, b.block_id AS b, count(*) AS k FROM m a JOIN m b USING (series_id, ts_ms, value) WHERE a.block_id < b.block_id GROUP BY 1, 2)
+  SELECT a AS block_a, b AS block_b FROM c JOIN n x ON x.block_id = a JOIN n y ON y.block_id = b WHERE k = least(x.n, y.n)""")
+def p2_found(spark, d):
+    done = consolidation.consolidate(table(spark, d, "points"), table(spark, d, "manifest"))
+    return consolidation.contained_blocks(done)
+
+
+@query(_LIVE_POINTS + " SELECT series_id, ts_ms, value, min(block_id) AS owner FROM p GROUP BY 1, 2, 3")
+def p2_consolidated(spark, d):
+    done = consolidation.consolidate(table(spark, d, "points"), table(spark, d, "manifest"))
+    return done.points.select("series_id", "ts_ms", "value", "owner")
+
+
+@query()
+def p2_files(spark, d):
+    """The files written: rows, checksum and source blocks of each."""
+    return consolidation.consolidate(table(spark, d, "points"), table(spark, d, "manifest"), rows_per_file=20_000).files

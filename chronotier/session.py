@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK: str | None = None
 
@@ -23,6 +24,7 @@ def local_session(app: str = "chronotier", cores: str = "8", partitions: int = 8
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -60,6 +62,12 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Marks ``df`` for a broadcast if it has at most so many rows (a few dozen MB for a narrow dimension), which it
+    counts; a larger one is left to a shuffled join, which adaptive execution splits where a key is hot."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Deletes every table this application staged; for long sessions, when no result is in use any more."""
     jvm, root = spark.sparkContext._jvm, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
