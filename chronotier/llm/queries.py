@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
+from . import packing, tokens
 from . import percentiles as pct
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +53,22 @@ def p1_combined(spark, d):
     """Bounds of the same percentiles from the daily summaries alone."""
     days = pct.all_summaries(table(spark, d, "points"), table(spark, d, "series"), table(spark, d, "rollup_buckets"))
     return pct.from_summary(pct.combine(days, pct.BY), pct.BY)
+
+
+# ---- 6: encoding
+
+@query()
+def p6_ids(spark, d):
+    return tokens.encode(table(spark, d, "documents"))
+
+
+# ---- 7: containers
+
+@query()
+def p7_containers(spark, d):
+    return packing.pack_documents(table(spark, d, "documents"))
+
+
+@query()
+def p7_report(spark, d):
+    return packing.report(packing.pack_documents(table(spark, d, "documents")), 2048)
