@@ -104,7 +104,7 @@ def frozen_points(points: DataFrame, manifest: DataFrame) -> DataFrame:
     long as the number of live blocks that hold the very same point. Group keys normalise both zeros and all NaNs, and
     null groups with null. Files that are listed but absent have no rows; rows in unlisted blocks or none are no concern.
     """
-    live = broadcast_if_small(live_blocks(manifest, 0).select("block_id"), 5_000_000)
+    live = broadcast_if_small(live_blocks(manifest, 0).select("block_id"))
     rows = points.select("series_id", "ts_ms", "value", "seq", "received_at", "block_id").join(live, "block_id", "left_semi")
     return rows.groupBy("series_id", "ts_ms", "value").agg(
         F.min(F.struct("seq", "received_at")).alias("first"), F.sort_array(F.collect_set("block_id")).alias("held_by")
@@ -136,7 +136,7 @@ def consolidate(points: DataFrame, manifest: DataFrame, rows_per_file: int = ROW
     numbered = stage(numbered, "numbered")
     plan = bins.select(F.col("block_id").alias("owner"), "bin").join(numbered.groupBy("bin", "parts").agg(F.min("file").alias("first_file")), "bin")
     h = point_hash(F.col("series_id"), F.col("ts_ms"), F.col("value"))
-    rows = frozen.join(broadcast_if_small(plan, 5_000_000), "owner")
+    rows = frozen.join(broadcast_if_small(plan), "owner")
     rows = rows.withColumn("file", (F.col("first_file") + F.pmod(F.shiftright(h, 32), F.col("parts"))).cast("int")).drop("bin", "parts", "first_file")
     path = new_path(spark, "consolidated")
     # A partition is a file: the file's number is the partition's.

@@ -62,7 +62,7 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """Marks ``df`` for a broadcast if it has at most so many rows (a few dozen MB for a narrow dimension), which it
     counts; a larger one is left to a shuffled join, which adaptive execution splits where a key is hot."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
