@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import consolidation
+from ..operators import anomalies, consolidation
 from ..operators import regrid as grid_ops
 from ..operators import trailing as trailing_ops
 from ..session import table
@@ -103,3 +103,20 @@ def p2_consolidated(spark, d):
 def p2_files(spark, d):
     """The files written: rows, checksum and source blocks of each."""
     return consolidation.consolidate(table(spark, d, "points"), table(spark, d, "manifest"), rows_per_file=20_000).files
+
+
+# ---- 4: implausible readings
+
+def _p4(spark, d, flagged_only):
+    return anomalies.score_readings(table(spark, d, "points"), table(spark, d, "series"), table(spark, d, "metric_specs"), flagged_only=flagged_only)
+
+
+@query()
+def p4_found(spark, d):
+    return anomalies.implausible_records(table(spark, d, "points"), _p4(spark, d, True))
+
+
+@query()
+def p4_scores(spark, d):
+    """Every reading with its score and flags."""
+    return _p4(spark, d, False)
