@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import packing, tokens
+from . import packing, stuffing, tokens
 from . import percentiles as pct
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,15 @@ def p7_containers(spark, d):
 @query()
 def p7_report(spark, d):
     return packing.report(packing.pack_documents(table(spark, d, "documents")), 2048)
+
+
+# ---- 8: stuffed pages
+
+@query()
+def p8_found(spark, d):
+    return stuffing.score_pages(table(spark, d, "documents")).where("stuffed").select("doc_id")
+
+
+@query()
+def p8_scores(spark, d):
+    return stuffing.score_pages(table(spark, d, "documents"))
