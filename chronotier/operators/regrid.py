@@ -69,16 +69,17 @@ def regrid(points: DataFrame, series: DataFrame, max_fill_ms: int = 6 * 3_600_00
     w = W.partitionBy("series_id", "shard").orderBy("slot_ms")
     at = lambda c, n: F.lag(c, n).over(w) if n > 0 else F.lead(c, -n).over(w)
     t0, t1 = F.col("ts"), F.col("__t1")
-    near = lambda a, b: F.when(b - a <= max_gap_ms, b - a)  # a silence that ends the segment has no secant
     s = sent.withColumns({
         "__slot1": at("slot_ms", -1), "__first1": at("first_ts", -1), "__t1": at("ts", -1), "__v1": at("value", -1),
-        "__t2": at("ts", -2), "__v2": at("value", -2), "__tm": at("ts", 1), "__vm": at("value", 1),
+        "__first2": at("first_ts", -2), "__t2": at("ts", -2), "__v2": at("value", -2), "__tm": at("ts", 1), "__vm": at("value", 1),
     })
     # The first reading of the next slot decides whether the silence ends the segment.
     s = s.where("move = 0").withColumn("__gap", F.col("__first1") - t0)
     joined = F.coalesce(F.col("__gap") <= max_gap_ms, F.lit(False))
-    h, hm, hp = (t1 - t0).cast("double"), near(F.col("__tm"), t0).cast("double"), near(t1, F.col("__t2")).cast("double")
-    s = s.withColumns({"__h": h, "__hm": hm, "__hp": hp})
+    # Beyond a silence that ends the segment there is no secant.
+    before = F.when(F.col("first_ts") - F.col("__tm") <= max_gap_ms, t0 - F.col("__tm"))
+    after = F.when(F.col("__first2") - t1 <= max_gap_ms, F.col("__t2") - t1)
+    s = s.withColumns({"__h": (t1 - t0).cast("double"), "__hm": before.cast("double"), "__hp": after.cast("double")})
     h, hm, hp = F.col("__h"), F.col("__hm"), F.col("__hp")
     s = s.withColumns({"__d": (F.col("__v1") - F.col("value")) / h, "__dm": (F.col("value") - F.col("__vm")) / hm, "__dp": (F.col("__v2") - F.col("__v1")) / hp})
     d, dm, dp = F.col("__d"), F.col("__dm"), F.col("__dp")

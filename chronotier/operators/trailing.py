@@ -6,6 +6,8 @@ of at most about ``SHARD`` series with the days before it (for the windows) and
 
 from __future__ import annotations
 
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -84,7 +86,7 @@ def trailing(buckets: DataFrame, windows: tuple[int, int] = (7, 30)) -> DataFram
     )
     ops = [banded(w, before, TILE, after) for w in (short, long)]
 
-    def block(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def block(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         start = int(key[1]) * TILE
         head = pdf[pdf["day"].isna()].sort_values("series_id")
         ids = head["series_id"].to_numpy()
