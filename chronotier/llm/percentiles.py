@@ -107,8 +107,8 @@ def combine(summaries: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def key_value(key: Column) -> Column:
-    """The double whose ordered key this is."""
-    a = F.abs(key)
+    """The double whose ordered key this is; the largest finite one for keys beyond it."""
+    a = F.least(F.abs(key), F.lit(0x7FEFFFFFFFFFFFFF))
     e = F.greatest(F.shiftright(a, 52), F.lit(1).cast("long"))
     v = (a - (e - 1) * F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52)) * F.pow(F.lit(2.0), (e - 1023).cast("double"))
     return F.when(key < 0, -v).otherwise(v)
