@@ -30,6 +30,8 @@ from ..session import stage
 
 #: Buckets of the table of word odds; chunks that the trees learn from, at most about; trees and their depth.
 BUCKETS, TRAIN_ROWS, TREES, DEPTH = 1 << 18, 60_000, 24, 6
+#: Probability above which a chunk counts as stuffing.
+CHUNK_SURE = 0.6
 #: Pages of fewer words are very short reviews, whatever they say.
 SHORT = 8
 #: Words a chunk has at most; the pull of a host's rate, in log odds; pages that count for a host before its own do.
@@ -261,7 +263,7 @@ def score_pages(documents: DataFrame, seed: int = 8) -> DataFrame:
     trees = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="all", subsamplingRate=0.7, seed=seed, maxBins=64)
     model = trees.fit(train)
     judged = model.transform(assemble.transform(parts)).select("row", "chars", vector_to_array("probability")[1].alias("p"))
-    by_page = judged.groupBy("row").agg((F.sum(F.when(F.col("p") > 0.5, F.col("chars")).otherwise(0)) / F.nullif(F.sum("chars"), F.lit(0))).alias("share"))
+    by_page = judged.groupBy("row").agg((F.sum(F.when(F.col("p") > CHUNK_SURE, F.col("chars")).otherwise(0)) / F.nullif(F.sum("chars"), F.lit(0))).alias("share"))
     shares = stage(joined.join(by_page, "row", "left").select("doc_id", "source", F.coalesce("share", F.lit(0.0)).alias("share")), "p8-shares")
     whole = shares.agg(F.avg((F.col("share") > 0.5).cast("double"))).first()[0] or 0.0
     hosts = shares.groupBy("source").agg(((F.sum((F.col("share") > 0.5).cast("double")) + HOST_PRIOR * whole) / (F.count(F.lit(1)) + HOST_PRIOR)).alias("host_rate"))
