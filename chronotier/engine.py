@@ -94,7 +94,7 @@ class Engine:
         """
         m = self.manifest
         batch = batch or uuid.uuid4().hex
-        if batch in m.batches:
+        if _accepted(batch, m.batches):
             return 0
         labels = F.col("labels")
         if dict(points.dtypes)["labels"].startswith("map"):
@@ -113,11 +113,13 @@ class Engine:
         self.failpoint("post_stage_pre_manifest")
         m = replace(
             m, next_series=m.next_series + n_new, series_files=m.series_files + ((path,) if n_new else ()),
-            staged=m.staged + (staged,), batches=m.batches + (batch,),
+            staged=m.staged + (staged,), batches=_with_batch(batch, m.batches),
         )
         self.store.commit(m)
         count = self.spark.read.schema(STAGED).parquet(staged).count()
-        if self.memtable().count() >= self.flush_threshold:
+        # Rows are counted from file footers; keys only once there are rows enough.
+        waiting = self.spark.read.schema(STAGED).option("recursiveFileLookup", "true").parquet(*m.staged)
+        if waiting.count() >= self.flush_threshold and self.memtable().count() >= self.flush_threshold:
             self.flush()
         return count
 
@@ -236,6 +238,24 @@ class Engine:
         return block_ops.engine_stats(m.frame(self.spark), self.series(m)).withColumn("memtable_rows", F.lit(waiting).cast("long"))
 
 
+def _numbered(batch: str) -> tuple[str, int] | None:
+    stream, _, number = batch.rpartition("-")
+    return (stream, int(number)) if stream and number.isdecimal() else None
+
+
+def _accepted(batch: str, batches: Sequence[str]) -> bool:
+    """Whether a batch was taken in before; of a stream's numbered batches, also those before the last one."""
+    mine = _numbered(batch)
+    return batch in batches or mine is not None and any((b := _numbered(x)) and b[0] == mine[0] and b[1] >= mine[1] for x in batches)
+
+
+def _with_batch(batch: str, batches: tuple[str, ...]) -> tuple[str, ...]:
+    """The names to remember: of a stream, which numbers its batches in order, the last one only."""
+    mine = _numbered(batch)
+    kept = batches if mine is None else tuple(x for x in batches if not ((b := _numbered(x)) and b[0] == mine[0]))
+    return (*kept, batch)
+
+
 def with_retry(action: Callable[[], object], attempts: int = 5) -> object:
     """Runs a committing action again when another writer was first."""
     for k in range(attempts):

@@ -258,11 +258,25 @@ def judge(seg: np.ndarray, ts: np.ndarray, value: np.ndarray, rules: Rules) -> t
     return own, spike & candidate, stuck & candidate
 
 
+def _even_units(readings: DataFrame) -> DataFrame:
+    """Divides units that hold far more readings than a shard, as a series that outruns its step makes them, by time."""
+    dense = readings.groupBy("series_id", "unit", "unit_ms").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * SHARD_ROWS)
+    dense = dense.select("series_id", "unit", F.ceil(F.col("n") / SHARD_ROWS).alias("parts"))
+    finer = F.lit(1 << 20)
+    if not dense.take(1):
+        return readings.withColumn("unit", F.col("unit") * finer)
+    place = F.floor((F.col("ts_ms") - F.col("unit") * F.col("unit_ms")) / F.col("unit_ms") * F.least("parts", finer)).cast("long")
+    rows = readings.join(broadcast_if_small(dense), ["series_id", "unit"], "left")
+    return rows.withColumn("unit", F.col("unit") * finer + F.coalesce(place, F.lit(0))).drop("parts")
+
+
 def sharded(readings: DataFrame) -> DataFrame:
-    """Adds ``shard`` and ``home`` to ``series_id, ts_ms, unit, ...``: rows of the neighbouring units come as copies.
+    """Adds ``shard`` and ``home`` to ``series_id, ts_ms, unit, unit_ms, ...``: rows of the neighbouring units come as
+    copies.
 
     Consecutive units make a shard once they hold ``SHARD_ROWS`` readings; what is left at the end joins the last one.
     """
+    readings = _even_units(readings)
     counts = readings.groupBy("series_id", "unit").agg(F.count(F.lit(1)).alias("n"))
     w = W.partitionBy("series_id")
     order = w.orderBy("unit")
@@ -273,7 +287,7 @@ def sharded(readings: DataFrame) -> DataFrame:
     units = units.withColumn("shards", F.array_distinct(F.filter(F.array("shard", *near), lambda s: s.isNotNull())))
     units = broadcast_if_small(units.select("series_id", "unit", F.col("shard").alias("own"), "shards"))
     out = readings.join(units, ["series_id", "unit"]).withColumn("shard", F.explode("shards"))
-    return out.withColumn("home", F.col("shard") == F.col("own")).drop("own", "shards", "unit")
+    return out.withColumn("home", F.col("shard") == F.col("own")).drop("own", "shards", "unit", "unit_ms")
 
 
 def score_readings(points: DataFrame, series: DataFrame, specs: DataFrame, rules: Rules | None = None, flagged_only: bool = False) -> DataFrame:
@@ -290,8 +304,9 @@ def score_readings(points: DataFrame, series: DataFrame, specs: DataFrame, rules
     rows = rows.groupBy("series_id", "ts_ms", "value").agg(F.coalesce(F.min("seq"), F.lit((1 << 63) - 1)).alias("seq"))
     rows = rows.join(bounds, "series_id", "left")
     bad = F.coalesce(F.col("value") < F.col("lower"), F.lit(False)) | F.coalesce(F.col("value") > F.col("upper"), F.lit(False)) | ~finite(F.col("value"))
-    unit = F.floor(F.col("ts_ms") / (F.coalesce("step_ms", F.lit(60_000)) * UNIT_SLOTS)).cast("long")
-    rows = stage(rows.select("series_id", "ts_ms", "value", "seq", unit.alias("unit"), bad.alias("impossible")), "p4-readings")
+    width = (F.coalesce("step_ms", F.lit(60_000)) * UNIT_SLOTS).cast("long")
+    unit = F.floor(F.col("ts_ms") / width).cast("long")
+    rows = stage(rows.select("series_id", "ts_ms", "value", "seq", unit.alias("unit"), width.alias("unit_ms"), bad.alias("impossible")), "p4-readings")
     sequence = rows.where(finite(F.col("value")))
     batches = max(1, sequence.count() // BATCH_ROWS)
     parts = sharded(sequence).withColumn("batch", F.pmod(F.xxhash64("series_id", "shard"), F.lit(batches)))

@@ -294,3 +294,11 @@ def test_forest_sets_an_outlier_apart():
     n = np.array([500])
     score = anomalies.forest_scores(x, np.array([0]), n, np.arange(500), np.array([0]), n, anomalies.Rules())
     assert score.argmax() == 7 and score[7] > 0.7 and np.median(score) < 0.55
+
+
+def test_a_series_that_outruns_its_step_is_cut_finer(spark, monkeypatch):
+    monkeypatch.setattr(anomalies, "SHARD_ROWS", 100)
+    df = spark.range(3000).selectExpr("1L as series_id", "id * 7 as ts_ms", "0L as unit", "30000L as unit_ms")
+    out = anomalies.sharded(df)
+    sizes = [r["n"] for r in out.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert out.where("home").count() == 3000 and max(sizes) < 1200 and len(sizes) > 5

@@ -60,6 +60,17 @@ def test_a_batch_is_accepted_once(spark, tmp_path):
     assert e.memtable().count() == 5
 
 
+def test_numbered_batches_are_remembered_by_the_last():
+    from chronotier.engine import _accepted, _with_batch
+
+    names = ()
+    for b in ("s-0", "s-1", "x", "t-5", "s-2"):
+        assert not _accepted(b, names)
+        names = _with_batch(b, names)
+    assert names == ("x", "t-5", "s-2")
+    assert all(_accepted(b, names) for b in ("s-0", "s-2", "x", "t-4")) and not _accepted("s-3", names)
+
+
 def test_maps_nulls_and_clashing_columns(spark, tmp_path):
     e = Engine(spark, str(tmp_path), flush_threshold=1 << 30)
     df = spark.createDataFrame([({"b": "2", "a": "1"}, 5, 1.0, 7), (None, 5, 1.0, 8), ({"a": "1"}, None, 1.0, 9), ({"b": "2", "a": "1"}, 6, None, 10)], "labels map<string,string>, ts_ms long, value double, series_id long")
