@@ -242,7 +242,12 @@ def _day_blocks(spark):
     return stage(generators.days(spark), "days")
 
 
-@query(None)
+@query("""WITH r AS (SELECT d AS day, 1700000000000 + d * 86400000 + p * 300000 AS t FROM range(100) x(d), range(288) y(p)),
+  b AS (SELECT day, min(t) AS lo, max(t) AS hi FROM r WHERE day >= 98 GROUP BY 1
+  UNION ALL SELECT day, min(t - t % 3600000), max(t - t % 3600000) FROM r WHERE day < 98 GROUP BY 1),
+  q AS (SELECT * FROM (VALUES ('10min', 600000), ('3day', 259200000), ('90day', 7776000000)) z(range, span)),
+  e AS (SELECT range, lo < 1708640000000 AND hi >= 1708640000000 - span AS hit FROM b, q)
+  SELECT range, count(*) FILTER (hit) AS scanned, count(*) FILTER (NOT hit) AS skipped FROM e GROUP BY 1""")
 def route_100_days(spark, d):
     """A block a day for 100 days, the last two not compacted: blocks scanned and skipped by range (1/99, 3/97, 90/10)."""
     rows = _day_blocks(spark)
@@ -473,7 +478,7 @@ def codec_crc32(spark, d):
     return s.select("labels", F.crc32("data").alias("crc"))
 
 
-@query("SELECT 0 AS k, 100000 AS points, 3.74 AS bytes_per_point, 4.28 AS ratio UNION ALL SELECT 1, 8000, 7.11, 2.25")
+@query("SELECT 0 AS k, 100000 AS points, 3.74::DOUBLE AS bytes_per_point, 4.28::DOUBLE AS ratio UNION ALL SELECT 1, 8000, 7.11, 2.25")
 def codec_published(spark, d):
     """The two published workloads: bytes a point and ratio, as published."""
     burst = generators.burst(spark, 100_000).withColumn("block", F.floor(F.col("seq") / 20_000))
@@ -486,7 +491,11 @@ def codec_published(spark, d):
     return out
 
 
-@query(None)
+@query("""WITH o AS (SELECT series_id, level, bucket_start AS t, row_number() OVER w AS n, bucket_start - lag(bucket_start) OVER w AS delta
+  FROM rollup_buckets WHERE level = 1 WINDOW w AS (PARTITION BY series_id, level ORDER BY bucket_start)),
+  p AS (SELECT *, delta - coalesce(lag(delta) OVER (PARTITION BY series_id, level ORDER BY n), 0) AS dod FROM o)
+  SELECT series_id, level, count(*) AS buckets, CAST(ceil(sum(288 + CASE WHEN n = 1 THEN 64 WHEN dod = 0 THEN 1 WHEN dod BETWEEN -63 AND 64 THEN 9
+  WHEN dod BETWEEN -255 AND 256 THEN 12 WHEN dod BETWEEN -2047 AND 2048 THEN 16 ELSE 36 END) / 8.0) AS BIGINT) AS bytes FROM p GROUP BY 1, 2""")
 def codec_rollup_sizes(spark, d):
     return codec.rollup_sizes(table(spark, d, "rollup_buckets").where("level = 1"), ["series_id", "level"])
 

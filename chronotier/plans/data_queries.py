@@ -102,7 +102,7 @@ def p2_consolidated(spark, d):
 @query()
 def p2_files(spark, d):
     """The files written: rows, checksum and source blocks of each."""
-    return consolidation.consolidate(table(spark, d, "points"), table(spark, d, "manifest"), rows_per_file=20_000).files
+    return consolidation.consolidate(table(spark, d, "points"), table(spark, d, "manifest")).files
 
 
 # ---- 4: implausible readings
