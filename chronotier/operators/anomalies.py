@@ -28,9 +28,10 @@ UNIT_NATURE = {
 @dataclass(frozen=True)
 class Rules:
     """``trees`` on ``sample`` readings each make a forest, which passes on what scores ``candidate`` or more; the last
-    ``run_trees`` of them know run lengths only, the others the other features, and the higher mean counts. A spike
-    lies ``spike`` scatters beyond the readings on both sides (``side`` of them each); in a series that often repeats
-    a value, also ``tail`` times beyond its 97 % tail. A stuck value is a run of ``run`` readings."""
+    ``run_trees`` of them know run lengths only, the others the other features, and the higher mean counts. A spike lies
+    ``spike`` scatters beyond the readings on both sides (``side`` of them each), next to one ``shoulder`` of that is
+    enough; in a series that often repeats a value, also ``tail`` times beyond its 97 % tail. A stuck value is a run of
+    ``run`` readings."""
 
     trees: int = 20
     run_trees: int = 6
@@ -39,6 +40,7 @@ class Rules:
     side: int = 7
     spike: float = 9.0
     clear: float = 30.0
+    shoulder: float = 0.6
     tail: float = 4.0
     run: int = 10
     repeats: float = 0.2
@@ -251,6 +253,17 @@ def judge(seg: np.ndarray, ts: np.ndarray, value: np.ndarray, rules: Rules) -> t
     inside = (near >= 0) & (near < len(v)) & (g[np.clip(near, 0, len(v) - 1)] == g[at[hit]][:, None])
     jump = np.where(inside, np.abs(step[np.clip(near, 0, len(v) - 1)]), 0.0).max(axis=1, initial=0.0)
     spike[hit[jump < 0.6 * beyond[hit]]] = False
+    # Readings next to a spike, on its side, belong to it from a lower bound on.
+    part, side = np.zeros(len(v), dtype=bool), np.sign(off)
+    part[at[spike & lead]] = True
+    weak = np.abs(off) > rules.shoulder * bound
+    for _ in range(3):
+        near = np.zeros(len(v), dtype=bool)
+        close = (g[1:] == g[:-1]) & (side[1:] == side[:-1])
+        near[1:] |= part[:-1] & close
+        near[:-1] |= part[1:] & close
+        part |= near & weak
+    spike[lead] |= part & (bound > 0)
     stuck = stuck_run[run][at] & (np.abs(value - v[at]) <= tolerance[g][at])
     # Readings that share a time are scored by the more striking of them.
     own = np.where(lead, score[at], np.where(beyond > bound[at], 1.0, score[at]))
