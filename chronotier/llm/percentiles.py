@@ -28,14 +28,21 @@ def target_rank(p: Column, n: Column) -> Column:
     return F.least(F.greatest(F.ceil(F.round(p * n, 6)), F.lit(1)), n).cast("long")
 
 
+def _checked(by: Sequence[str]) -> list[str]:
+    """Group columns; those of the result and names that begin with two underscores are taken."""
+    if bad := [c for c in by if c in ("p", "n", "value", "low", "high") or c.startswith("__")]:
+        raise ValueError(f"group columns can't be named {bad}")
+    return list(by)
+
+
 def weighted(values: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
-    """Distinct finite values of each group with their number of rows: ``by..., v, key, w``.
+    """Distinct finite values of each group with their number of rows: ``by..., __v, __key, __w``.
 
     Null, NaN and infinite values are left out; -0.0 is 0.0. Groups may be null in any column.
     """
     v = F.col(value).cast("double") + 0.0
-    rows = values.where(finite(F.col(value).cast("double"))).groupBy(*by, v.alias("v")).agg(F.count(F.lit(1)).alias("w"))
-    return rows.withColumn("key", ordered_key(F.col("v")))
+    rows = values.where(finite(F.col(value).cast("double"))).groupBy(*by, v.alias("__v")).agg(F.count(F.lit(1)).alias("__w"))
+    return rows.withColumn("__key", ordered_key(F.col("__v")))
 
 
 def _same(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> Column:
@@ -46,7 +53,7 @@ def _same(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> Column:
 
 
 def percentiles(rows: DataFrame, by: Sequence[str], ps: Sequence[float] = (0.5, 0.9, 0.99), tolerance_bits: int = 0, max_passes: int = 64) -> DataFrame:
-    """``by..., p, n, value, low, high`` of weighted rows (``by..., v, key, w``); runs a job for each pass.
+    """``by..., p, n, value, low, high`` of weighted rows (``by..., __v, __key, __w``); runs a job for each pass.
 
     ``value`` is the nearest-rank percentile. With ``tolerance_bits`` above 0 an interval also counts as resolved once
     it spans less than ``2^tolerance_bits`` keys, that is a relative error of about ``2^(tolerance_bits - 52)``, and
@@ -54,13 +61,13 @@ def percentiles(rows: DataFrame, by: Sequence[str], ps: Sequence[float] = (0.5,
     """
     if any(not 0 < p <= 1 for p in ps):
         raise ValueError("percentiles must be in (0, 1]")
-    by = list(by)
+    by = _checked(by)
     each = F.explode(F.array(*[F.lit(float(p)) for p in ps])).alias("p")
-    whole = rows.groupBy(*by).agg(F.sum("w").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.min("v").alias("low"), F.max("v").alias("high"))
-    state = whole.select(*by, "n", "lo", "hi", "low", "high", each, F.lit(0).cast("long").alias("below"))
-    state = stage(state.withColumn("rank", target_rank(F.col("p"), F.col("n"))), "p1-state")
+    whole = rows.groupBy(*by).agg(F.sum("__w").alias("n"), F.min("__key").alias("__lo"), F.max("__key").alias("__hi"), F.min("__v").alias("low"), F.max("__v").alias("high"))
+    state = whole.select(*by, "n", "__lo", "__hi", "low", "high", each, F.lit(0).cast("long").alias("__below"))
+    state = stage(state.withColumn("__rank", target_rank(F.col("p"), F.col("n"))), "p1-state")
     # The bits of the span, halved first so that it can't overflow, set how far keys are shifted to give 2^BITS parts.
-    open_ = (F.col("hi") > F.col("lo")) & (F.shiftright("hi", 1) - F.shiftright("lo", 1) >= (1 << tolerance_bits) // 2)
+    open_ = (F.col("__hi") > F.col("__lo")) & (F.shiftright("__hi", 1) - F.shiftright("__lo", 1) >= (1 << tolerance_bits) // 2)
     finished: list[DataFrame] = []
     cols = [*by, "p", "n", "low", "high"]
     for _ in range(max_passes):
@@ -68,21 +75,21 @@ def percentiles(rows: DataFrame, by: Sequence[str], ps: Sequence[float] = (0.5,
         todo = state.where(open_)
         if not todo.take(1):
             break
-        span = F.shiftright("hi", 1) - F.shiftright("lo", 1)
+        span = F.shiftright("__hi", 1) - F.shiftright("__lo", 1)
         shift = F.greatest(F.length(F.bin(span)) + 1 - BITS, F.lit(0)).cast("int")
-        cuts = broadcast_if_small(todo.select(*by, "lo", "hi").distinct().withColumn("s", shift), 500_000)
-        hit = rows.join(cuts, _same(rows, cuts, by) & rows["key"].between(cuts["lo"], cuts["hi"])).select(
-            *[rows[c] for c in by], "lo", "hi", "key", "v", "w", F.expr("shiftright(key, s) - shiftright(lo, s)").alias("part")
+        cuts = broadcast_if_small(todo.select(*by, "__lo", "__hi").distinct().withColumn("__s", shift), 500_000)
+        hit = rows.join(cuts, _same(rows, cuts, by) & rows["__key"].between(cuts["__lo"], cuts["__hi"])).select(
+            *[rows[c] for c in by], "__lo", "__hi", "__key", "__v", "__w", F.expr("shiftright(__key, __s) - shiftright(__lo, __s)").alias("__part")
         )
-        counts = hit.groupBy(*by, "lo", "hi", "part").agg(
-            F.sum("w").alias("c"), F.min("key").alias("k0"), F.max("key").alias("k1"), F.min("v").alias("v0"), F.max("v").alias("v1")
+        counts = hit.groupBy(*by, "__lo", "__hi", "__part").agg(
+            F.sum("__w").alias("__c"), F.min("__key").alias("__k0"), F.max("__key").alias("__k1"), F.min("__v").alias("__v0"), F.max("__v").alias("__v1")
         )
         # At most 2^BITS + 1 parts an interval.
-        upto = F.sum("c").over(W.partitionBy(*by, "lo", "hi").orderBy("part"))
-        counts = counts.withColumn("upto", upto)
-        pick = todo.join(counts, _same(todo, counts, [*by, "lo", "hi"]) & (todo["rank"] - todo["below"] <= counts["upto"]) & (todo["rank"] - todo["below"] > counts["upto"] - counts["c"]))
+        upto = F.sum("__c").over(W.partitionBy(*by, "__lo", "__hi").orderBy("__part"))
+        counts = counts.withColumn("__upto", upto)
+        pick = todo.join(counts, _same(todo, counts, [*by, "__lo", "__hi"]) & (todo["__rank"] - todo["__below"] <= counts["__upto"]) & (todo["__rank"] - todo["__below"] > counts["__upto"] - counts["__c"]))
         state = stage(
-            pick.select(*[todo[c] for c in by], "n", F.col("k0").alias("lo"), F.col("k1").alias("hi"), F.col("v0").alias("low"), F.col("v1").alias("high"), "p", (F.col("below") + F.col("upto") - F.col("c")).alias("below"), "rank"),
+            pick.select(*[todo[c] for c in by], "n", F.col("__k0").alias("__lo"), F.col("__k1").alias("__hi"), F.col("__v0").alias("low"), F.col("__v1").alias("high"), "p", (F.col("__below") + F.col("__upto") - F.col("__c")).alias("__below"), "__rank"),
             "p1-state",
         )
     else:
@@ -94,16 +101,16 @@ def percentiles(rows: DataFrame, by: Sequence[str], ps: Sequence[float] = (0.5,
 
 
 def summarise(values: DataFrame, by: Sequence[str], part: Sequence[str], value: str = "value") -> DataFrame:
-    """Counts of fixed value cells for each group and part (a day, a block): ``by..., part..., cell, w``.
+    """Counts of fixed value cells for each group and part (a day, a block): ``by..., part..., __cell, __w``.
 
     Summaries of different parts, also made at different times, are combined by ``combine``.
     """
-    cells = weighted(values, [*by, *part], value).withColumn("cell", F.shiftright("key", CELL_SHIFT))
-    return cells.groupBy(*by, *part, "cell").agg(F.sum("w").alias("w"))
+    cells = weighted(values, [*by, *part], value).withColumn("__cell", F.shiftright("__key", CELL_SHIFT))
+    return cells.groupBy(*by, *part, "__cell").agg(F.sum("__w").alias("__w"))
 
 
 def combine(summaries: DataFrame, by: Sequence[str]) -> DataFrame:
-    return summaries.groupBy(*by, "cell").agg(F.sum("w").alias("w"))
+    return summaries.groupBy(*by, "__cell").agg(F.sum("__w").alias("__w"))
 
 
 def key_value(key: Column) -> Column:
@@ -120,12 +127,12 @@ def from_summary(combined: DataFrame, by: Sequence[str], ps: Sequence[float] = (
     A cell spans at most 1/512 of its values, or ``2^-1031`` next to zero. The cells of a group are at most some 2^21
     whatever its rows, and a few thousand for a measurement; the running sum over them is by group.
     """
-    by = list(by)
+    by = _checked(by)
     w = W.partitionBy(*by)
-    run = combined.withColumn("n", F.sum("w").over(w)).withColumn("upto", F.sum("w").over(w.orderBy("cell")))
-    each = run.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps]))).withColumn("rank", target_rank(F.col("p"), F.col("n")))
-    hit = each.where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("w")))
-    low = F.shiftleft("cell", CELL_SHIFT)
+    run = combined.withColumn("n", F.sum("__w").over(w)).withColumn("__upto", F.sum("__w").over(w.orderBy("__cell")))
+    each = run.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps]))).withColumn("__rank", target_rank(F.col("p"), F.col("n")))
+    hit = each.where((F.col("__rank") <= F.col("__upto")) & (F.col("__rank") > F.col("__upto") - F.col("__w")))
+    low = F.shiftleft("__cell", CELL_SHIFT)
     return hit.select(*by, "p", "n", key_value(low).alias("low"), key_value(low + F.lit((1 << CELL_SHIFT) - 1)).alias("high"))
 
 
@@ -159,9 +166,9 @@ def all_values(points: DataFrame, series: DataFrame, buckets: DataFrame) -> Data
     null name."""
     none = F.lit(None)
     by_series = stage(weighted(readings(points), ["series_id"]), "p1-series")
-    by_metric = by_series.join(broadcast_if_small(metrics_of(series)), "series_id", "left").groupBy("metric", "v", "key").agg(F.sum("w").alias("w"))
+    by_metric = by_series.join(broadcast_if_small(metrics_of(series)), "series_id", "left").groupBy("metric", "__v", "__key").agg(F.sum("__w").alias("__w"))
     rows = buckets.distinct().select("series_id", "level", "p99", F.col("count").cast("double").alias("count"))
-    vkw = [F.col("v"), F.col("key"), F.col("w")]
+    vkw = [F.col("__v"), F.col("__key"), F.col("__w")]
     out = _named(by_series, "series", F.col("series_id"), none, *vkw).unionByName(_named(by_metric, "metric", F.col("metric"), none, *vkw))
     for c in ("p99", "count"):
         out = out.unionByName(_named(weighted(rows, ["series_id", "level"], c), f"rollup_{c}", F.col("series_id"), F.col("level"), *vkw))
@@ -175,8 +182,8 @@ def all_summaries(points: DataFrame, series: DataFrame, buckets: DataFrame) -> D
     none = F.lit(None)
     r = readings(points).withColumn("day", day_number(F.col("ts_ms")))
     s = stage(summarise(r, ["series_id"], ["day"]), "p1-daily")
-    m = s.join(broadcast_if_small(metrics_of(series)), "series_id", "left").groupBy("metric", "day", "cell").agg(F.sum("w").alias("w"))
-    rest = [F.col("day"), F.col("cell"), F.col("w")]
+    m = s.join(broadcast_if_small(metrics_of(series)), "series_id", "left").groupBy("metric", "day", "__cell").agg(F.sum("__w").alias("__w"))
+    rest = [F.col("day"), F.col("__cell"), F.col("__w")]
     out = _named(s, "series", F.col("series_id"), none, *rest).unionByName(_named(m, "metric", F.col("metric"), none, *rest))
     b = buckets.distinct().withColumn("day", day_number(F.col("bucket_start"))).withColumn("count", F.col("count").cast("double"))
     for c in ("p99", "count"):

@@ -45,7 +45,8 @@ def p1_percentiles(spark, d):
 @query()
 def p1_daily_summaries(spark, d):
     """The mergeable form: counts of value cells for each group and day."""
-    return pct.all_summaries(table(spark, d, "points"), table(spark, d, "series"), table(spark, d, "rollup_buckets"))
+    days = pct.all_summaries(table(spark, d, "points"), table(spark, d, "series"), table(spark, d, "rollup_buckets"))
+    return days.withColumnsRenamed({"__cell": "cell", "__w": "rows"})
 
 
 @query()

@@ -67,6 +67,18 @@ def test_nothing_and_bad_arguments(spark):
         pct.percentiles(pct.weighted(df, ["g"]), ["g"], (0.0,))
 
 
+def test_clashing_names(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0)], "key string, value double")
+    names = {}
+    for name in ("key", "v", "w", "cell", "lo", "rank", "part", "s", "c"):
+        d = df.withColumnRenamed("key", name)
+        names[name] = sorted(tuple(r) for r in pct.percentiles(pct.weighted(d, [name]), [name], (0.5,)).select(name, "n", "value").collect())
+        assert pct.from_summary(pct.summarise(d, [name], []), [name], (0.5,)).count() == 2
+    assert set(map(tuple, names.values())) == {(("a", 2, 1.0), ("b", 1, 3.0))}
+    with pytest.raises(ValueError):
+        pct.percentiles(pct.weighted(df.withColumnRenamed("key", "n"), ["n"]), ["n"])
+
+
 def test_one_reading_a_record(spark):
     rows = [(1, 10, 5.0, 1, 1), (1, 10, 5.0, 1, 2), (1, 11, 6.0, 2, 1), (1, 11, 6.0, 3, 1), (1, 12, 7.0, None, 1), (1, 12, 7.0, None, 2), (1, 13, float("nan"), 4, 1)]
     df = spark.createDataFrame(rows, "series_id long, ts_ms long, value double, seq long, block_id long")
