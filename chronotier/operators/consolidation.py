@@ -167,6 +167,19 @@ def _commit(listing: DataFrame, path: str) -> None:
         raise VerificationError(f"the listing {final} exists already")
 
 
+def audit(points: DataFrame, manifest: DataFrame, blocks: DataFrame) -> DataFrame:
+    """What the summaries say of each live L0 block beside what it holds: ``block_id, summary_rows, rows, absent``.
+
+    Of repeated summaries the latest counts (by ``created_at``, then the larger); null where there is none or it has no
+    number. A live file that is absent, or holds nothing, has 0 rows. Sizes for packing are hence counted, not believed.
+    """
+    live = live_blocks(manifest, 0).select("block_id")
+    said = blocks.where("level = 0").groupBy("block_id").agg(F.max_by("row_count", F.struct("created_at", "row_count")).alias("summary_rows"))
+    held = points.where("block_id IS NOT NULL").groupBy("block_id").agg(F.count(F.lit(1)).alias("rows"))
+    out = live.join(said, "block_id", "left").join(held, "block_id", "left")
+    return out.select("block_id", "summary_rows", F.coalesce("rows", F.lit(0)).alias("rows"), F.col("rows").isNull().alias("absent"))
+
+
 def contained_blocks(done: Consolidation) -> DataFrame:
     """Pairs of live blocks, one of which holds every point of the other: ``block_a < block_b``.
 

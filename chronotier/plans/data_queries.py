@@ -99,6 +99,16 @@ def p2_consolidated(spark, d):
     return done.points.select("series_id", "ts_ms", "value", "owner")
 
 
+@query(r"""WITH live AS (SELECT DISTINCT CAST(regexp_extract(filename, '(\d+)\.blk\s*$', 1) AS BIGINT) AS block_id FROM manifest
+  WHERE level = 0 AND regexp_matches(filename, '\d+\.blk\s*$')), said AS (SELECT block_id, row_count AS summary_rows FROM blocks WHERE level = 0
+  QUALIFY row_number() OVER (PARTITION BY block_id ORDER BY created_at DESC NULLS LAST, row_count DESC NULLS LAST) = 1),
+  held AS (SELECT block_id, count(*) AS rows FROM points GROUP BY 1)
+  SELECT block_id, summary_rows, coalesce(rows, 0) AS rows, rows IS NULL AS absent FROM live LEFT JOIN said USING (block_id) LEFT JOIN held USING (block_id)""")
+def p2_audit(spark, d):
+    """Live blocks as summarised and as found."""
+    return consolidation.audit(table(spark, d, "points"), table(spark, d, "manifest"), table(spark, d, "blocks"))
+
+
 @query()
 def p2_files(spark, d):
     """The files written: rows, checksum and source blocks of each."""
