@@ -18,8 +18,8 @@ def summarise(rows: DataFrame, by: list[str], ts: str = "ts_ms") -> DataFrame:
 
 
 def block_number(filename: Column) -> Column:
-    """The number in a block's file name, in whatever spelling of path and padding; null if there is none."""
-    digits = F.regexp_extract(filename, r"(\d+)\.blk\s*$", 1)
+    """The number in a block's file name, in whatever spelling of path, padding and case; null if there is none."""
+    digits = F.regexp_extract(filename, r"(?i)(\d+)\.blk\s*$", 1)
     return F.when(digits != "", digits).try_cast("long")
 
 

@@ -89,6 +89,11 @@ def test_block_numbers_and_unknown_levels(spark, rows):
         blocks.check_levels(m.unionByName(spark.createDataFrame([(9, "1.blk")], m.schema)))
 
 
+def test_block_numbers_in_any_case(spark, rows):
+    m = spark.createDataFrame([(0, "00000028.BLK"), (0, "28.blk"), (0, "./L0/0030.Blk "), (2, "00000196.BLK"), (0, "31.BLKX")], "level int, filename string")
+    assert rows(blocks.live_blocks(m)) == [(0, 28), (0, 30), (2, 196)]
+
+
 def test_eligibility_uses_file_age(spark):
     b = spark.createDataFrame([(0, 1, 1, 1, 0, 0, 0, 1000), (0, 2, 1, 1, 0, 0, 0, 5000), (0, 3, 1, 1, 0, 0, 0, 99_000)], BLOCKS)
     assert sorted(r["block_id"] for r in blocks.eligible(b, 0, 6000, 2).collect()) == [1]

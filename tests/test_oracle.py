@@ -41,6 +41,15 @@ def test_same_rows(spark, duck, name):
     assert table(df.columns, [tuple(r) for r in df.collect()]) == table(names, want.fetchall())
 
 
+def test_a_block_is_live_in_any_spelling(spark, duck):
+    """The last number of a name identifies the file, whatever stands around it."""
+    live = r"SELECT DISTINCT level, CAST(regexp_extract(filename, '(\d+)\D*$', 1) AS BIGINT) AS block_id FROM manifest WHERE regexp_matches(filename, '\d')"
+    assert sorted(map(tuple, Q["manifest_live"](spark, DATA).collect())) == sorted(duck.execute(live).fetchall())
+    held = duck.execute(f"""SELECT count(*) FROM (SELECT DISTINCT series_id, ts_ms, value FROM points
+      WHERE block_id IN (SELECT block_id FROM ({live}) WHERE level = 0))""").fetchone()[0]
+    assert Q["p2_consolidated"](spark, DATA).count() == held
+
+
 @pytest.mark.parametrize("name", ["raw_range", "stitched_query", "label_intersect", "p5_found", "rollup_points_hour", "l0_block_scan", "manifest_orphans"])
 def test_no_nested_loops(spark, name):
     plan = Q[name](spark, DATA)._jdf.queryExecution().toString()
