@@ -197,14 +197,13 @@ def judge(seg: np.ndarray, ts: np.ndarray, value: np.ndarray, rules: Rules) -> t
     """Score, spike and stuck of each reading; sorted by segment, time and order of arrival, values finite.
 
     The first reading of a time stands for it in the sequence; others of the same time are held against the same
-    neighbours by their own value.
+    neighbours by their own value, by the forest and by the rules.
     """
     lead = np.append(True, (seg[1:] != seg[:-1]) | (ts[1:] != ts[:-1]))
     at = np.cumsum(lead) - 1  # place of each reading in the sequence
     _, g = np.unique(seg[lead], return_inverse=True)
     v, groups = value[lead], int(g[-1]) + 1
     size = np.bincount(g, minlength=groups)
-    start = np.cumsum(size) - size
     head = np.append(True, g[1:] != g[:-1])
     step = np.where(head, 0.0, v - np.append(v[:1], v[:-1]))
     # Exact repeats come first: long ones say nothing about the usual scatter.
@@ -232,14 +231,26 @@ def judge(seg: np.ndarray, ts: np.ndarray, value: np.ndarray, rules: Rules) -> t
     off = np.where(v > high, v - high, np.where(v < low, v - low, 0.0))
     hour = ((ts[lead] // 3_600_000) % 24).astype(np.int64)
     usual = _median_by(g * 24 + hour, v, groups * 24)[g * 24 + hour]
+    # Readings that share a time have features of their own, as if each stood in that place.
+    last = np.append(head[1:], True)
+    back = np.where(head[at], np.inf, np.abs(value - np.append(v[:1], v[:-1])[at]))
+    onward = np.where(last[at], np.inf, np.abs(np.append(v[1:], v[-1:])[at] - value))
+    place = np.arange(len(v))
+    # Readings of the run that ends just before a place, and of the one that begins just after it.
+    before = np.append(0, (place - first[run] + 1)[:-1])
+    after = np.append(((first + length)[run] - place)[1:], 0)
+    reach = 1 + np.where(back <= tolerance[g][at], before[at], 0) + np.where(onward <= tolerance[g][at], after[at], 0)
+    reach = np.where(np.abs(value - v[at]) <= tolerance[g][at], np.maximum(reach, length[run][at]), reach)
     # Flatness grades readings outside runs too, so that a tree without a run in its sample still sets one apart.
-    onward = np.append(np.where(head[1:], np.inf, np.abs(step[1:])), np.inf)
-    flat = 1 / (1 + np.minimum(np.where(head, np.inf, np.abs(step)), onward) / unit)
-    x = np.stack([_squash(off / unit), _squash(step / unit), _squash((v - usual) / unit), np.log1p(length[run]) + flat], axis=1)
-    # A run is one event: it enters the samples once, else a long one would hide itself.
-    pool = first
+    flat = 1 / (1 + np.minimum(back, onward) / unit[at])
+    own_off = np.where(value > high[at], value - high[at], np.where(value < low[at], value - low[at], 0.0))
+    own_step = np.where(head[at], 0.0, value - np.append(v[:1], v[:-1])[at])
+    x = np.stack([_squash(own_off / unit[at]), _squash(own_step / unit[at]), _squash((value - usual[at]) / unit[at]), np.log1p(reach) + flat], axis=1)
+    # A run is one event: it enters the samples once, else a long one would hide itself. Trees grow on first readings only.
+    pool = np.flatnonzero(lead)[first]
     in_pool = np.bincount(g[first], minlength=groups)
-    score = forest_scores(x, start, size, pool, np.cumsum(in_pool) - in_pool, in_pool, rules)
+    asked = np.bincount(g[at], minlength=groups)
+    score = forest_scores(x, np.cumsum(asked) - asked, asked, pool, np.cumsum(in_pool) - in_pool, in_pool, rules)
     # The rules, on every reading that the forest sets apart.
     bound = rules.spike * scatter
     often = np.maximum(np.maximum(bound, rules.tail * tail), np.where((scatter == 0) | (tail == 0), 10 * np.maximum(np.abs(middle), 1), 0))
@@ -265,10 +276,8 @@ def judge(seg: np.ndarray, ts: np.ndarray, value: np.ndarray, rules: Rules) -> t
         part |= near & weak
     spike[lead] |= part & (bound > 0)
     stuck = stuck_run[run][at] & (np.abs(value - v[at]) <= tolerance[g][at])
-    # Readings that share a time are scored by the more striking of them.
-    own = np.where(lead, score[at], np.where(beyond > bound[at], 1.0, score[at]))
-    candidate = own >= rules.candidate
-    return own, spike & candidate, stuck & candidate
+    candidate = score >= rules.candidate
+    return score, spike & candidate, stuck & candidate
 
 
 def _even_units(readings: DataFrame) -> DataFrame:

@@ -296,6 +296,20 @@ def test_forest_sets_an_outlier_apart():
     assert score.argmax() == 7 and score[7] > 0.7 and np.median(score) < 0.55
 
 
+def test_readings_that_share_a_time_have_forest_scores_of_their_own():
+    t, v, _ = planted(np.random.default_rng(3))
+    alone, spikes, _ = anomalies.judge(np.zeros(len(t)), t, v, anomalies.Rules())
+    # After the first reading of its time: a spike beside an ordinary reading, an ordinary one beside a spike, a copy in the run.
+    at, extra = np.array([50, 100, 607]), np.array([v[50] + 15, 50.0, v[607]])
+    first = np.delete(np.arange(len(t) + 3), at + 1 + np.arange(3))
+    more = lambda a, b: np.insert(a, at + 1, b)
+    score, spike, stuck = anomalies.judge(np.zeros(len(t) + 3), more(t, t[at]), more(v, extra), anomalies.Rules())
+    own = np.setdiff1d(np.arange(len(score)), first)
+    assert (score[first] == alone).all() and (spike[first] == spikes).all()  # the trees are the same
+    assert alone[50] < score[own[0]] < 1 and score[own[1]] < alone[100] and score[own[2]] == alone[607]
+    assert spike[own].tolist() == [True, False, False] and stuck[own].tolist() == [False, False, True]
+
+
 def test_a_series_that_outruns_its_step_is_cut_finer(spark, monkeypatch):
     monkeypatch.setattr(anomalies, "SHARD_ROWS", 100)
     df = spark.range(3000).selectExpr("1L as series_id", "id * 7 as ts_ms", "0L as unit", "30000L as unit_ms")
