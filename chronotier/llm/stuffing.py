@@ -32,7 +32,7 @@ from ..session import stage
 BUCKETS, TRAIN_ROWS, TREES, DEPTH = 1 << 18, 60_000, 24, 6
 #: Probability above which a chunk counts as stuffing.
 CHUNK_SURE = 0.6
-#: Pages of fewer words are very short reviews, whatever they say.
+#: Pages of fewer words are very short reviews, unless links or tags are most of them.
 SHORT = 8
 #: Words a chunk has at most; the pull of a host's rate, in log odds; pages that count for a host before its own do.
 CHUNK_WORDS, HOST_PULL, HOST_PRIOR = 16, 0.1, 50.0
@@ -137,6 +137,21 @@ def weak_label(s: dict[str, float]) -> int | None:
     return None
 
 
+def short_share(t: str) -> float:
+    """Share of links and tags in a short cleaned text, of its characters or of its words and items, whichever is less.
+
+    The trees know no short stuffing. A single tag is no mass of tags and counts as a word.
+    """
+    rest = _URL.sub(" ", t)
+    left = _TAG.sub(" ", rest)
+    links, tags = len(_URL.findall(t)), len(_TAG.findall(rest))
+    if links == 0 and tags < 2:
+        return 0.0
+    solid = lambda x: len("".join(x.split()))
+    items = links + tags
+    return min(1 - solid(left) / max(1, solid(t)), items / (items + len(words(left))))
+
+
 FEATURES = (
     "keyword_share", "sentence_share", "odds", "links", "tags", "separators", "variety", "common", "ends", "per_segment", "digits", "upper", "size", "near_odds", "near_variety",
 )
@@ -218,7 +233,7 @@ def word_odds(pages: DataFrame) -> np.ndarray:
 def score_pages(documents: DataFrame, seed: int = 8) -> DataFrame:
     """``doc_id, source, share, host_rate, score, stuffed`` for each row of ``documents``. Runs jobs.
 
-    ``share`` is the share of the text that is stuffing; pages of fewer than ``SHORT`` words have share 0.
+    ``share`` is the share of the text that is stuffing; that of pages of fewer than ``SHORT`` words is ``short_share``.
 
     Null, empty and blank texts have share 0 and are not stuffed; a null source is a host of its own. Whole texts are
     used. If the rules label no page of one of the kinds, nothing is stuffed.
@@ -245,13 +260,15 @@ def score_pages(documents: DataFrame, seed: int = 8) -> DataFrame:
                 w = words(t)
                 label = weak_label(page_signals(t, w))
                 x, sizes = page_features(t, w, odds_of())
-                keys.extend((row, 0 if len(w) < SHORT else k, -1 if label is None else label) for k in sizes)
+                short = len(w) < SHORT
+                known = short_share(t) if short else None
+                keys.extend((row, 0 if short else k, -1 if label is None else label, known) for k in sizes)
                 blocks.append(x)
-            out = pd.DataFrame(keys, columns=["row", "chars", "label"])
+            out = pd.DataFrame(keys, columns=["row", "chars", "label", "known"]).astype({"known": float})
             x = np.vstack(blocks) if blocks else np.zeros((0, len(FEATURES)))
             yield pd.concat([out, pd.DataFrame(x, columns=list(FEATURES))], axis=1)
 
-    parts = stage(pages.select("row", "text").mapInPandas(cut, f"row long, chars int, label int, {columns}"), "p8-chunks")
+    parts = stage(pages.select("row", "text").mapInPandas(cut, f"row long, chars int, label int, known double, {columns}"), "p8-chunks")
     labelled = parts.where("label >= 0")
     counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     joined = pages.select("row", "doc_id", "source")
@@ -262,8 +279,9 @@ def score_pages(documents: DataFrame, seed: int = 8) -> DataFrame:
     train = assemble.transform(labelled.sampleBy("label", share, seed)).select("features", F.col("label").cast("double").alias("label"))
     trees = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="all", subsamplingRate=0.7, seed=seed, maxBins=64)
     model = trees.fit(train)
-    judged = model.transform(assemble.transform(parts)).select("row", "chars", vector_to_array("probability")[1].alias("p"))
-    by_page = judged.groupBy("row").agg((F.sum(F.when(F.col("p") > CHUNK_SURE, F.col("chars")).otherwise(0)) / F.nullif(F.sum("chars"), F.lit(0))).alias("share"))
+    judged = model.transform(assemble.transform(parts)).select("row", "chars", "known", vector_to_array("probability")[1].alias("p"))
+    by_trees = F.sum(F.when(F.col("p") > CHUNK_SURE, F.col("chars")).otherwise(0)) / F.nullif(F.sum("chars"), F.lit(0))
+    by_page = judged.groupBy("row").agg(F.coalesce(F.max("known"), by_trees).alias("share"))
     shares = stage(joined.join(by_page, "row", "left").select("doc_id", "source", F.coalesce("share", F.lit(0.0)).alias("share")), "p8-shares")
     whole = shares.agg(F.avg((F.col("share") > 0.5).cast("double"))).first()[0] or 0.0
     hosts = shares.groupBy("source").agg(((F.sum((F.col("share") > 0.5).cast("double")) + HOST_PRIOR * whole) / (F.count(F.lit(1)) + HOST_PRIOR)).alias("host_rate"))

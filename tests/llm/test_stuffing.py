@@ -60,6 +60,16 @@ def test_shares_and_hosts(scored):
     assert {r["source"] for r in out} == {"a", "b", ""}
 
 
+def test_short_pages_of_links_or_tags_alone(spark):
+    rnd = random.Random(5)
+    rows = [(i, stuffed(rnd) if i % 7 == 0 else review(rnd), "a") for i in range(700)]
+    bad = ["#sale #shop #cheap", "http://shop7.example/lamp", "[buy lamp](http://shop7.example/lamp)", "#cheap_lamp #sale_lamp"]
+    good = ["Too loud", "Good lamp.", "Very good lamp, my sister wanted it #lamp", "Works fine. #lamp", "Verdict:great", "cheap lamp", "My sister gladly bought it, see lamp.example", "Good lamp, see https://shop7.example/lamp/blue"]
+    rows += [(1000 + i, t, "a") for i, t in enumerate(bad + good)]
+    out = stuffing.score_pages(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("doc_id >= 1000").collect()
+    assert {r["doc_id"] for r in out if r["stuffed"]} == {1000 + i for i in range(len(bad))}
+
+
 def test_nothing_to_learn_from(spark):
     schema = "doc_id long, text string, source string"
     assert stuffing.score_pages(spark.createDataFrame([], schema)).count() == 0
