@@ -119,7 +119,8 @@ STREAMS = "points long, wide boolean, data binary"
 def encode_points(points: DataFrame, by: list[str]) -> DataFrame:
     """One compressed stream for each group of ``by``, in the order of time and value.
 
-    A group must fit into a task, so ``by`` holds a block or a time bucket beside the series; see ``compress``. Points
+    A group is one task and must fit into it: labels alone make a hot series one task, a block or a time bucket beside them
+    cuts it, into streams of their own. Points
     without a time or value are left out: the format has no null.
     """
     kinds = dict(points.dtypes)
