@@ -366,8 +366,9 @@ def rollup_block_summary(spark, d):
     return blocks.summarise(table(spark, d, "rollup_buckets"), ["level", "block_id"], "bucket_start")
 
 
-_LIVE = r"""SELECT DISTINCT level, CAST(regexp_extract(filename, '(\d+)\.blk\s*$', 1) AS BIGINT) AS block_id FROM manifest
-  WHERE regexp_matches(filename, '\d+\.blk\s*$')"""
+# A file in several spellings is one file: its number identifies it, in upper case too.
+_LIVE = r"""SELECT DISTINCT level, CAST(regexp_extract(lower(trim(filename)), '(\d+)\.blk$', 1) AS BIGINT) AS block_id FROM manifest
+  WHERE regexp_matches(lower(trim(filename)), '\d\.blk$')"""
 
 
 @query(_LIVE)

@@ -81,8 +81,9 @@ def p5_found(spark, d):
 
 # ---- 2: far too many small files
 
-_LIVE_POINTS = r"""WITH live AS (SELECT DISTINCT CAST(regexp_extract(filename, '(\d+)\.blk\s*$', 1) AS BIGINT) AS block_id FROM manifest
-  WHERE level = 0 AND regexp_matches(filename, '\d+\.blk\s*$')), p AS (SELECT DISTINCT series_id, ts_ms, value, block_id FROM points SEMI JOIN live USING (block_id))"""
+_LIVE_L0 = r"""live AS (SELECT DISTINCT CAST(regexp_extract(lower(trim(filename)), '(\d+)\.blk$', 1) AS BIGINT) AS block_id FROM manifest
+  WHERE level = 0 AND regexp_matches(lower(trim(filename)), '\d\.blk$'))"""
+_LIVE_POINTS = f"""WITH {_LIVE_L0}, p AS (SELECT DISTINCT series_id, ts_ms, value, block_id FROM points SEMI JOIN live USING (block_id))"""
 
 
 @query(_LIVE_POINTS + """, m AS (SELECT block_id, series_id, ts_ms, coalesce(value, 1e308) AS value FROM p), n AS (SELECT block_id, count(*) AS n FROM m GROUP BY 1),
@@ -99,8 +100,7 @@ def p2_consolidated(spark, d):
     return done.points.select("series_id", "ts_ms", "value", "owner")
 
 
-@query(r"""WITH live AS (SELECT DISTINCT CAST(regexp_extract(filename, '(\d+)\.blk\s*$', 1) AS BIGINT) AS block_id FROM manifest
-  WHERE level = 0 AND regexp_matches(filename, '\d+\.blk\s*$')), said AS (SELECT block_id, row_count AS summary_rows FROM blocks WHERE level = 0
+@query(f"""WITH {_LIVE_L0}, said AS (SELECT block_id, row_count AS summary_rows FROM blocks WHERE level = 0
   QUALIFY row_number() OVER (PARTITION BY block_id ORDER BY created_at DESC NULLS LAST, row_count DESC NULLS LAST) = 1),
   held AS (SELECT block_id, count(*) AS rows FROM points GROUP BY 1)
   SELECT block_id, summary_rows, coalesce(rows, 0) AS rows, rows IS NULL AS absent FROM live LEFT JOIN said USING (block_id) LEFT JOIN held USING (block_id)""")
