@@ -1,8 +1,11 @@
-"""Implausible readings: an isolation forest for each source finds candidates, exact rules decide, limits are explicit.
+"""Implausible readings: an isolation forest for each source decides, limits and the length of a stuck run are explicit.
 
 A series is cut into shards of some thousand readings, whatever its rate, with the readings next to it as a halo; each
 shard has its own statistics and its own forest, so that a reading is judged by what its series did at that time. The
 forests of all shards in a batch are grown and asked at once, as arrays.
+
+A forest is asked for the score of each reading and, beside them, of probes: made-up readings of that source that just
+are what is looked for. A probe's score is the source's own threshold. The daily cycle is that of the whole series.
 """
 
 from __future__ import annotations
@@ -27,19 +30,19 @@ UNIT_NATURE = {
 
 @dataclass(frozen=True)
 class Rules:
-    """``trees`` on ``sample`` readings each make a forest, which passes on what scores ``candidate`` or more; the last
-    ``run_trees`` of them know run lengths only, the others the other features, and the higher mean counts. A spike lies
-    ``spike`` scatters beyond the readings on both sides (``side`` of them each), next to one ``shoulder`` of that is
-    enough; in a series that often repeats a value, also ``tail`` times beyond its 97 % tail. A stuck value is a run of
-    ``run`` readings."""
+    """``trees`` on ``sample`` of the ``inner`` share of readings each make a forest; the last ``run_trees`` of them know run lengths only, the
+    others the other features. A reading is a spike if the forest isolates it no later than the probe of its source, a
+    reading that stands ``spike`` units out on both sides (``side`` readings each) and half of that out of the daily
+    cycle; next to a spike, a probe of ``shoulder`` of that is enough. A source's unit is its scatter and, where it often
+    repeats a value (``repeats``), at least what brings ``spike`` units ``tail`` times beyond its 97 % tail. A stuck value
+    is a run of ``run`` readings that the forest isolates no later than such a run of this source."""
 
     trees: int = 20
     run_trees: int = 6
     sample: int = 128
-    candidate: float = 0.53
+    inner: float = 0.97
     side: int = 7
     spike: float = 9.0
-    clear: float = 30.0
     shoulder: float = 0.6
     tail: float = 4.0
     run: int = 10
@@ -73,70 +76,78 @@ def average_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(many - 1) + 0.5772156649) - 2 * (many - 1) / many, np.where(n == 2, 1.0, 0.0))
 
 
-def forest_scores(x: np.ndarray, start: np.ndarray, size: np.ndarray, pool: np.ndarray, pool_start: np.ndarray, pool_size: np.ndarray, rules: Rules) -> np.ndarray:
-    """Isolation score of each row of ``x``, whose segment ``s`` is ``x[start[s]:start[s] + size[s]]``.
+def forest_scores(x: np.ndarray, owner: np.ndarray, pool: np.ndarray, pool_start: np.ndarray, pool_size: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
+    """Isolation scores of each row of ``x`` in the forest of its segment ``owner``: by all features but the last, and by
+    the last one, the run length.
 
-    The trees of segment ``s`` are grown on samples of the rows ``pool[pool_start[s]:pool_start[s] + pool_size[s]]``.
+    The trees of segment ``s`` are grown on samples of the rows ``pool[pool_start[s]:pool_start[s] + pool_size[s]]``. A
+    row outside the range of a node's sample is taken as if it were in it: a cut falls between the two as often as the
+    way there is long beside the range, and the expected depth counts. A row hence scores the more the further it lies
+    out, also beyond everything that was sampled. Beside that way a range counts as ``spike`` units at least (1 of run
+    length), lest a source whose readings are nearly all equal sets apart what is near to them.
     """
     rng = np.random.default_rng(rules.seed)
-    segments, features, trees, sample = len(start), x.shape[1], rules.trees, rules.sample
+    segments, features, trees, sample = len(pool_start), x.shape[1], rules.trees, rules.sample
     depth = int(np.ceil(np.log2(sample)))
     roots = segments * trees
     pick = (rng.random((segments, trees, sample)) * pool_size[:, None, None]).astype(np.int64)
-    grown = np.minimum(sample, pool_size)  # a small segment has fewer readings to tell apart
-    used = np.arange(sample)[None, None, :] < grown[:, None, None]
-    rows = pool[np.minimum(pick, pool_size[:, None, None] - 1) + pool_start[:, None, None]]
-    flat, root = rows[np.broadcast_to(used, rows.shape)], np.broadcast_to(np.arange(roots).reshape(segments, trees, 1), rows.shape)[np.broadcast_to(used, rows.shape)]
-    data = x[flat]
+    rows = pool[np.minimum(pick, pool_size[:, None, None] - 1) + pool_start[:, None, None]].ravel()
+    root = np.repeat(np.arange(roots), sample)
+    data = x[rows].astype(np.float32)
     node = root.copy()  # place in the level: root * 2^level + position
-    feature = np.zeros((depth, roots << (depth - 1)), dtype=np.int8)
-    split = np.full((depth, roots << (depth - 1)), np.inf, dtype=np.float32)
     runs_only = np.tile(np.arange(trees) >= trees - rules.run_trees, segments)
     done = np.zeros(roots, dtype=bool)
-    path = np.zeros(roots)
-    alive = np.arange(len(flat))
-    for level in range(depth):
+    alive = np.arange(len(data))
+    least = np.append(np.full(features - 1, rules.spike), 1.0)
+    levels = []
+    for level in range(depth + 1):
         width = roots << level
-        f = np.where(runs_only, features - 1, rng.integers(0, features - 1, width)).astype(np.int8)
-        v = data[alive, f[node[alive]]]
-        low, high = np.full(width, np.inf), np.full(width, -np.inf)
-        np.minimum.at(low, node[alive], v)
-        np.maximum.at(high, node[alive], v)
-        # A constant feature can't split; the next one is tried once before the node becomes a leaf.
-        flat_node = ~(high > low)
-        f = np.where(flat_node & ~runs_only, (f + 1) % (features - 1), f).astype(np.int8)
-        v = data[alive, f[node[alive]]]
-        low.fill(np.inf)
-        high.fill(-np.inf)
-        np.minimum.at(low, node[alive], v)
-        np.maximum.at(high, node[alive], v)
+        f = np.where(runs_only, features - 1, rng.integers(0, features - 1, width)).astype(np.int64)
         n = np.bincount(node[alive], minlength=width)
-        leaf = done | ~(high > low)
-        path = np.where(done, path, np.where(leaf, level + average_path(n), level + 1.0))
+
+        def span(f=f, width=width):
+            v = data[alive, f[node[alive]]]
+            low, high = np.full(width, np.inf, np.float32), np.full(width, -np.inf, np.float32)
+            np.minimum.at(low, node[alive], v)
+            np.maximum.at(high, node[alive], v)
+            return v, low, high
+
+        v, low, high = span()
+        # A constant feature can't split; the next ones are tried before the node becomes a leaf.
+        for _ in range(features - 2):
+            flat_node = ~(high > low) & ~runs_only & (n > 1)
+            if not flat_node.any():
+                break
+            f = np.where(flat_node, (f + 1) % (features - 1), f)
+            v, low, high = span(f)
+        leaf = done | ~(high > low) | (level == depth)
         with np.errstate(invalid="ignore"):
-            cut = np.where(leaf, np.inf, low + (high - low) * (1 - rng.random(width)))
-        feature[level, :width], split[level, :width] = f, cut
+            range_ = np.where(high > low, high - low, 0)
+            cut = np.where(leaf, np.inf, low + np.maximum(range_, 1) * (1 - rng.random(width, dtype=np.float32))).astype(np.float32)
+            wide = np.maximum(range_, least[f]).astype(np.float32)
+        rest = average_path(n + 1).astype(np.float32)
+        levels.append((f, cut, np.where(n > 0, low, 0).astype(np.float32), np.where(n > 0, high, 0).astype(np.float32), wide, leaf, rest))
         keep = ~leaf[node[alive]]
         alive, v = alive[keep], v[keep]
-        node[alive] = node[alive] * 2 + (v >= split[level, node[alive]])
-        done, path, runs_only = np.repeat(leaf, 2), np.repeat(path, 2), np.repeat(runs_only, 2)
-    n = np.bincount(node[alive], minlength=roots << depth)
-    path = np.where(done, path, depth + average_path(n))
-    total = np.zeros(len(x))
-    owner = np.repeat(np.arange(segments), size)
-    order = np.concatenate([np.arange(a, a + b) for a, b in zip(start, size, strict=True)]) if segments else np.zeros(0, np.int64)
-    xs = np.ascontiguousarray(x[order], dtype=np.float32)
-    every = np.arange(len(order))
-    got = np.zeros((2, len(order)))
+        node[alive] = node[alive] * 2 + (v >= cut[node[alive]])
+        done, runs_only = np.repeat(leaf, 2), np.repeat(runs_only, 2)
+    xs = np.ascontiguousarray(x, dtype=np.float32)
+    got = np.zeros((2, len(x)))
     for t in range(trees):
-        at = owner * trees + t
-        for level in range(depth):
-            at = at * 2 + (xs[every, feature[level, at]] >= split[level, at])
-        got[int(t >= trees - rules.run_trees)] += path[at]
-    norm = np.repeat(np.maximum(average_path(grown), 1e-9), size)
-    mean = np.minimum(got[0] / (trees - rules.run_trees), got[1] / rules.run_trees)
-    total[order] = 2.0 ** (-mean / norm)
-    return total
+        at, rows_left, alone = owner * trees + t, np.arange(len(x)), np.ones(len(x), np.float32)
+        path = got[int(t >= trees - rules.run_trees)]
+        for f, cut, low, high, wide, leaf, rest in levels:
+            v = xs[rows_left, f[at]]
+            beyond = np.maximum(np.maximum(low[at] - v, v - high[at]), 0)
+            stop = leaf[at]
+            stay = wide[at] / (beyond + wide[at])
+            path[rows_left] += alone * np.where(stop, stay * rest[at], 1)
+            go = ~stop
+            v, at, rows_left, alone = v[go], at[go], rows_left[go], (alone * stay)[go]
+            at = at * 2 + (v >= cut[at])
+    norm = float(average_path(np.array(sample)))
+    plain = 2.0 ** (-got[0] / (trees - rules.run_trees) / norm)
+    return plain, 2.0 ** (-got[1] / rules.run_trees / norm)
 
 
 # ---- features and rules of a batch of shards
@@ -189,15 +200,23 @@ def _runs(new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return run, first, np.diff(np.append(first, len(new)))
 
 
-def _squash(z: np.ndarray) -> np.ndarray:
-    return np.sign(z) * np.log1p(np.minimum(np.abs(z), 60.0))
+def _near_max(x: np.ndarray, seg: np.ndarray, before: int, after: int) -> np.ndarray:
+    """Largest ``x`` from ``before`` places back to ``after`` places on, in the same segment."""
+    out = x.copy()
+    for k in range(1, max(before, after) + 1):
+        same = seg[k:] == seg[:-k]
+        if k <= before:
+            out[k:] = np.where(same, np.maximum(out[k:], x[:-k]), out[k:])
+        if k <= after:
+            out[:-k] = np.where(same, np.maximum(out[:-k], x[k:]), out[:-k])
+    return out
 
 
-def judge(seg: np.ndarray, ts: np.ndarray, value: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def judge(seg: np.ndarray, ts: np.ndarray, value: np.ndarray, rules: Rules, daily: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Score, spike and stuck of each reading; sorted by segment, time and order of arrival, values finite.
 
     The first reading of a time stands for it in the sequence; others of the same time are held against the same
-    neighbours by their own value, by the forest and by the rules.
+    neighbours by their own value. ``daily[s, h]`` is the usual value of the series of the ``s``-th segment in hour ``h``.
     """
     lead = np.append(True, (seg[1:] != seg[:-1]) | (ts[1:] != ts[:-1]))
     at = np.cumsum(lead) - 1  # place of each reading in the sequence
@@ -225,59 +244,62 @@ def judge(seg: np.ndarray, ts: np.ndarray, value: np.ndarray, rules: Rules) -> t
     run, first, length = _runs(head | (np.abs(step) > tolerance[g]))
     spread = np.maximum.reduceat(v, first) - np.minimum.reduceat(v, first)
     stuck_run = (length >= rules.run) & (spread <= 4 * tolerance[g[first]]) & changing[g[first]]
-    # Features: level against both sides, step, hour of the day, length of the run.
-    unit = np.maximum(scatter, 1e-12 + 1e-9 * np.abs(middle))[g]
-    high, low = np.maximum(left, right), np.minimum(left, right)
-    off = np.where(v > high, v - high, np.where(v < low, v - low, 0.0))
-    hour = ((ts[lead] // 3_600_000) % 24).astype(np.int64)
-    usual = _median_by(g * 24 + hour, v, groups * 24)[g * 24 + hour]
+    # The unit of a source: its scatter, and its tail where it often repeats a value.
+    often = np.maximum(np.maximum(scatter, rules.tail * tail / rules.spike), np.where((scatter == 0) | (tail == 0), 10 * np.maximum(np.abs(middle), 1) / rules.spike, 0))
+    unit = np.where(repeats < rules.repeats, scatter, often)
+    unit = np.where(unit > 0, unit, np.inf)
+    high, low, gap = np.maximum(left, right)[at], np.minimum(left, right)[at], np.abs(left - right)[at]
+    beyond = np.where(value > high, value - high, np.where(value < low, low - value, 0.0))
     # Readings that share a time have features of their own, as if each stood in that place.
     last = np.append(head[1:], True)
     back = np.where(head[at], np.inf, np.abs(value - np.append(v[:1], v[:-1])[at]))
     onward = np.where(last[at], np.inf, np.abs(np.append(v[1:], v[-1:])[at] - value))
-    place = np.arange(len(v))
+    nearest = np.minimum(back, onward)
+    # At the edge of two levels a spike has to outdo both; it is entered or left by a jump, as the top of a ramp is not.
+    alone = beyond * (beyond / np.maximum(np.maximum(beyond, gap), 1e-300))
+    jump = np.maximum(_near_max(np.abs(step), g, 3, 4)[at], np.where(np.isfinite(nearest), nearest, 0))
+    jump = alone * (jump / np.maximum(np.maximum(jump, rules.shoulder * alone), 1e-300)) ** 3
+    # What the daily cycle of the series, at the level of this shard, doesn't explain.
+    cycle = np.zeros(len(v)) if daily is None else daily[g, ((ts[lead] // 3_600_000) % 24).astype(np.int64)]
+    cycle = np.where(np.isnan(cycle), middle[g], cycle)
+    level = _median_by(g, v - cycle, groups)
+    season = np.minimum(np.abs(value - (cycle + level[g])[at]), jump)
     # Readings of the run that ends just before a place, and of the one that begins just after it.
+    place = np.arange(len(v))
     before = np.append(0, (place - first[run] + 1)[:-1])
     after = np.append(((first + length)[run] - place)[1:], 0)
     reach = 1 + np.where(back <= tolerance[g][at], before[at], 0) + np.where(onward <= tolerance[g][at], after[at], 0)
     reach = np.where(np.abs(value - v[at]) <= tolerance[g][at], np.maximum(reach, length[run][at]), reach)
     # Flatness grades readings outside runs too, so that a tree without a run in its sample still sets one apart.
-    flat = 1 / (1 + np.minimum(back, onward) / unit[at])
-    own_off = np.where(value > high[at], value - high[at], np.where(value < low[at], value - low[at], 0.0))
-    own_step = np.where(head[at], 0.0, value - np.append(v[:1], v[:-1])[at])
-    x = np.stack([_squash(own_off / unit[at]), _squash(own_step / unit[at]), _squash((value - usual[at]) / unit[at]), np.log1p(reach) + flat], axis=1)
+    flat = 1 / (1 + nearest / np.maximum(scatter, 1e-12 + 1e-9 * np.abs(middle))[g][at])
+    shape = np.minimum(np.stack([alone, jump, season], axis=1) / unit[g][at][:, None], 2 * rules.spike)
+    x = np.column_stack([shape, np.log1p(reach) + flat])
+    probe = np.array([1.0, 1.0, 0.5]) * rules.spike
+    probes = np.stack([np.append(probe, np.log1p(rules.run / 2)), np.append(probe * rules.shoulder, 0.0)])
     # A run is one event: it enters the samples once, else a long one would hide itself. Trees grow on first readings only.
+    # The outermost readings of a source stay out of the samples, lest a cluster of spikes hides itself.
     pool = np.flatnonzero(lead)[first]
-    in_pool = np.bincount(g[first], minlength=groups)
-    asked = np.bincount(g[at], minlength=groups)
-    score = forest_scores(x, np.cumsum(asked) - asked, asked, pool, np.cumsum(in_pool) - in_pool, in_pool, rules)
-    # The rules, on every reading that the forest sets apart.
-    bound = rules.spike * scatter
-    often = np.maximum(np.maximum(bound, rules.tail * tail), np.where((scatter == 0) | (tail == 0), 10 * np.maximum(np.abs(middle), 1), 0))
-    bound = np.where(repeats < rules.repeats, bound, often)[g]
-    high, low, gap = high[at], low[at], np.abs(left - right)[at]
-    beyond = np.where(value > high, value - high, np.where(value < low, low - value, 0.0))
-    spike = (beyond > bound[at]) & (bound[at] > 0) & ((beyond > gap) | (beyond > rules.clear * scatter[g][at])) & (size[g][at] >= rules.run)
-    # A spike is entered or left by a jump; the top of a ramp is not.
-    hit = np.flatnonzero(spike & lead)
-    near = at[hit][:, None] + np.arange(-3, 5)[None, :]
-    inside = (near >= 0) & (near < len(v)) & (g[np.clip(near, 0, len(v) - 1)] == g[at[hit]][:, None])
-    jump = np.where(inside, np.abs(step[np.clip(near, 0, len(v) - 1)]), 0.0).max(axis=1, initial=0.0)
-    spike[hit[jump < 0.6 * beyond[hit]]] = False
-    # Readings next to a spike, on its side, belong to it from a lower bound on.
-    part, side = np.zeros(len(v), dtype=bool), np.sign(off)
+    inner = beyond[pool] <= _quantile_by(g, beyond[lead], groups, rules.inner)[g[first]]
+    pool, in_pool = pool[inner], np.bincount(g[first][inner], minlength=groups)
+    owner = np.concatenate([g[at], np.repeat(np.arange(groups), 2)])
+    plain, runs = forest_scores(np.vstack([x, np.tile(probes, (groups, 1))]), owner, pool, np.cumsum(in_pool) - in_pool, in_pool, rules)
+    n = len(value)
+    sure, beside, long_run = plain[n::2][g], plain[n + 1 :: 2][g], runs[n::2][g]
+    plain, runs = plain[:n], runs[:n]
+    spike = (plain >= sure[at]) & (size[g][at] >= rules.run)
+    # Readings next to a spike, on its side, belong to it from a lower threshold on.
+    part, side = np.zeros(len(v), dtype=bool), np.where(v > np.maximum(left, right), 1, np.where(v < np.minimum(left, right), -1, 0))
     part[at[spike & lead]] = True
-    weak = np.abs(off) > rules.shoulder * bound
+    weak = (plain[lead] >= beside) & (side != 0)
     for _ in range(3):
         near = np.zeros(len(v), dtype=bool)
         close = (g[1:] == g[:-1]) & (side[1:] == side[:-1])
         near[1:] |= part[:-1] & close
         near[:-1] |= part[1:] & close
         part |= near & weak
-    spike[lead] |= part & (bound > 0)
-    stuck = stuck_run[run][at] & (np.abs(value - v[at]) <= tolerance[g][at])
-    candidate = score >= rules.candidate
-    return score, spike & candidate, stuck & candidate
+    spike[lead] |= part
+    stuck = stuck_run[run][at] & (np.abs(value - v[at]) <= tolerance[g][at]) & (runs >= long_run[at])
+    return np.maximum(plain, runs), spike, stuck
 
 
 def _even_units(readings: DataFrame) -> DataFrame:
@@ -292,9 +314,9 @@ def _even_units(readings: DataFrame) -> DataFrame:
     return rows.withColumn("unit", F.col("unit") * finer + F.coalesce(place, F.lit(0))).drop("parts")
 
 
-def sharded(readings: DataFrame) -> DataFrame:
+def sharded(readings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Adds ``shard`` and ``home`` to ``series_id, ts_ms, unit, unit_ms, ...``: rows of the neighbouring units come as
-    copies.
+    copies. The other result is the list of shards, ``series_id, shard``.
 
     Consecutive units make a shard once they hold ``SHARD_ROWS`` readings; what is left at the end joins the last one.
     """
@@ -307,9 +329,18 @@ def sharded(readings: DataFrame) -> DataFrame:
     units = units.withColumn("shard", F.least(F.floor(F.col("before") / SHARD_ROWS), last).cast("long"))
     near = [F.lag("shard", k).over(order) for k in range(1, HALO_UNITS + 1)] + [F.lead("shard", k).over(order) for k in range(1, HALO_UNITS + 1)]
     units = units.withColumn("shards", F.array_distinct(F.filter(F.array("shard", *near), lambda s: s.isNotNull())))
-    units = broadcast_if_small(units.select("series_id", "unit", F.col("shard").alias("own"), "shards"))
-    out = readings.join(units, ["series_id", "unit"]).withColumn("shard", F.explode("shards"))
-    return out.withColumn("home", F.col("shard") == F.col("own")).drop("own", "shards", "unit", "unit_ms")
+    units = stage(units.select("series_id", "unit", F.col("shard").alias("own"), "shards"), "p4-units")
+    out = readings.join(broadcast_if_small(units), ["series_id", "unit"]).withColumn("shard", F.explode("shards"))
+    return out.withColumn("home", F.col("shard") == F.col("own")).drop("own", "shards", "unit", "unit_ms"), units.select("series_id", F.col("own").alias("shard")).distinct()
+
+
+def daily_cycle(readings: DataFrame) -> DataFrame:
+    """``series_id, hour, usual``: the median of each series in each hour of the UTC day, over all its readings.
+
+    The median is within 1/100 of the ranks; its sketches are merged before and after the shuffle.
+    """
+    hour = F.pmod(F.floor(F.col("ts_ms") / 3_600_000), F.lit(24)).cast("int")
+    return readings.groupBy("series_id", hour.alias("hour")).agg(F.percentile_approx("value", 0.5, 100).alias("usual"))
 
 
 def score_readings(points: DataFrame, series: DataFrame, specs: DataFrame, rules: Rules | None = None, flagged_only: bool = False) -> DataFrame:
@@ -331,19 +362,31 @@ def score_readings(points: DataFrame, series: DataFrame, specs: DataFrame, rules
     rows = stage(rows.select("series_id", "ts_ms", "value", "seq", unit.alias("unit"), width.alias("unit_ms"), bad.alias("impossible")), "p4-readings")
     sequence = rows.where(finite(F.col("value")))
     batches = max(1, sequence.count() // BATCH_ROWS)
-    parts = sharded(sequence).withColumn("batch", F.pmod(F.xxhash64("series_id", "shard"), F.lit(batches)))
+    parts, shards = sharded(sequence)
+    # The daily cycle goes to each shard of its series as 24 rows beside the readings.
+    no = F.lit(False)
+    cycle = shards.join(daily_cycle(sequence), "series_id").select(
+        "series_id", F.col("hour").cast("long").alias("ts_ms"), F.col("usual").alias("value"), F.lit(-1).cast("long").alias("seq"), "shard", no.alias("home"), no.alias("impossible"), F.lit(True).alias("of_day")
+    )
+    parts = parts.withColumn("of_day", no).select(*cycle.columns).unionByName(cycle).withColumn("batch", F.pmod(F.xxhash64("series_id", "shard"), F.lit(batches)))
 
     def batch(pdf: pd.DataFrame) -> pd.DataFrame:
+        of_day = pdf["of_day"].to_numpy()
+        hours, pdf = pdf[of_day], pdf[~of_day]
         pdf = pdf.iloc[np.lexsort((pdf["seq"].to_numpy(), pdf["ts_ms"].to_numpy(), pdf["shard"].to_numpy(), pdf["series_id"].to_numpy()))]
         sid, shard = pdf["series_id"].to_numpy(), pdf["shard"].to_numpy()
-        seg = np.cumsum(np.append(True, (sid[1:] != sid[:-1]) | (shard[1:] != shard[:-1])))
-        score, spike, stuck = judge(seg, pdf["ts_ms"].to_numpy(), pdf["value"].to_numpy(), rules)
+        new = np.append(True, (sid[1:] != sid[:-1]) | (shard[1:] != shard[:-1]))
+        seg = np.cumsum(new) - 1
+        daily = np.full((int(seg[-1]) + 1, 24), np.nan)
+        at = pd.MultiIndex.from_arrays([sid[new], shard[new]]).get_indexer(pd.MultiIndex.from_arrays([hours["series_id"], hours["shard"]]))
+        daily[at, hours["ts_ms"].to_numpy()] = hours["value"].to_numpy()
+        score, spike, stuck = judge(seg, pdf["ts_ms"].to_numpy(), pdf["value"].to_numpy(), rules, daily)
         out = pdf[["series_id", "ts_ms", "value", "impossible"]].assign(score=score, spike=spike, stuck=stuck)
         keep = pdf["home"].to_numpy() & ((not flagged_only) | spike | stuck | pdf["impossible"].to_numpy())
         return out[keep]
 
     schema = "series_id long, ts_ms long, value double, impossible boolean, score double, spike boolean, stuck boolean"
-    judged = parts.select("series_id", "ts_ms", "value", "seq", "shard", "home", "impossible", "batch").groupBy("batch").applyInPandas(batch, schema)
+    judged = parts.groupBy("batch").applyInPandas(batch, schema)
     infinite = rows.where(~finite(F.col("value"))).select(
         "series_id", "ts_ms", "value", "impossible", F.lit(None).cast("double").alias("score"), F.lit(False).alias("spike"), F.lit(False).alias("stuck")
     )

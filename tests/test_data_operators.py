@@ -289,11 +289,57 @@ def test_scores_of_nothing(spark):
 
 def test_forest_sets_an_outlier_apart():
     rnd = np.random.default_rng(0)
-    x = rnd.normal(size=(500, 4))
-    x[7] = 9
-    n = np.array([500])
-    score = anomalies.forest_scores(x, np.array([0]), n, np.arange(500), np.array([0]), n, anomalies.Rules())
-    assert score.argmax() == 7 and score[7] > 0.7 and np.median(score) < 0.55
+    x = np.abs(rnd.normal(size=(500, 5)))
+    x[7], x[8] = 9, 30  # the further out, the higher, also beyond all that is sampled
+    n = np.array([498])
+    plain, runs = anomalies.forest_scores(x, np.zeros(500, np.int64), np.delete(np.arange(500), [7, 8]), np.array([0]), n, anomalies.Rules())
+    for score in (plain, runs):
+        assert score.argmax() == 8 and score[8] > score[7] > 0.6 > 0.5 > np.median(score)
+
+
+def saw(rnd, n=1200):
+    """Discharge with recharges, and three spikes."""
+    v = 100 - 0.2 * (np.arange(n) % 100) + rnd.normal(0, 0.05, n)
+    at = np.array([150, 555, 1033])
+    v[at] += [3.0, -3.0, 3.0]
+    return np.arange(n) * 60_000, v, at
+
+
+def far_out(v, rules):
+    """The level alone: ``spike`` scatters beyond the medians of both sides."""
+    k = rules.side
+    sides = [(np.median(v[max(0, i - k) : i]), np.median(v[i + 1 : i + 1 + k])) for i in range(1, len(v) - 1)]
+    sides = np.array([(sides[0][1], sides[0][1]), *sides, (sides[-1][0], sides[-1][0])])
+    scatter = 1.4826 * np.median(np.abs(v - sides.mean(axis=1)))
+    return np.flatnonzero(np.maximum(v - sides.max(axis=1), sides.min(axis=1) - v) > rules.spike * scatter)
+
+
+def test_the_forest_decides(monkeypatch):
+    rules = anomalies.Rules()
+    t, v, at = saw(np.random.default_rng(2))
+    plain = far_out(v, rules)
+    assert set(at) <= set(plain) and len(at) / len(plain) < 0.3  # the level alone takes recharges for spikes
+    _, spike, _ = anomalies.judge(np.zeros(len(t)), t, v, rules)
+    assert np.flatnonzero(spike).tolist() == at.tolist()
+    # Without trees every score is that of the probe, and one useless tree misses or adds readings.
+    score = lambda x, owner, *rest: (np.full(len(x), 0.5), np.full(len(x), 0.5))
+    monkeypatch.setattr(anomalies, "forest_scores", score)
+    assert anomalies.judge(np.zeros(len(t)), t, v, rules)[1].all()
+
+
+def test_a_burst_of_every_day_is_no_spike_of_its_hour():
+    rnd = np.random.default_rng(4)
+    t = np.arange(0, 4 * DAY, 1_200_000)
+    v = rnd.normal(0, 1, len(t))
+    v[36::72] += 12  # once a day, at noon
+    odd = 36 + 72 + 20
+    v[odd] += 12
+    daily = np.zeros((1, 24))
+    _, blind, _ = anomalies.judge(np.zeros(len(t)), t, v, anomalies.Rules())
+    daily[0, 12] = 12.0
+    # The forest sees the residual of the daily cycle: what recurs at its hour counts for less than what doesn't.
+    score, spike, _ = anomalies.judge(np.zeros(len(t)), t, v, anomalies.Rules(), daily)
+    assert blind[odd] and spike[odd] and score[odd] > score[36::72].max()
 
 
 def test_readings_that_share_a_time_have_forest_scores_of_their_own():
@@ -313,6 +359,7 @@ def test_readings_that_share_a_time_have_forest_scores_of_their_own():
 def test_a_series_that_outruns_its_step_is_cut_finer(spark, monkeypatch):
     monkeypatch.setattr(anomalies, "SHARD_ROWS", 100)
     df = spark.range(3000).selectExpr("1L as series_id", "id * 7 as ts_ms", "0L as unit", "30000L as unit_ms")
-    out = anomalies.sharded(df)
+    out, shards = anomalies.sharded(df)
+    assert shards.count() == out.select("shard").distinct().count()
     sizes = [r["n"] for r in out.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()]
     assert out.where("home").count() == 3000 and max(sizes) < 1200 and len(sizes) > 5
