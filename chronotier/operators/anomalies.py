@@ -10,6 +10,7 @@ are what is looked for. A probe's score is the source's own threshold. The daily
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import finite
-from ..session import broadcast_if_small, stage
+from ..session import broadcast_if_small, small, stage
 
 # What a unit can't measure, where the limits were not recorded: fixed values, (lowest, highest).
 UNIT_NATURE = {
@@ -56,14 +57,20 @@ HALO_UNITS = 2
 
 
 def limits(series: DataFrame, specs: DataFrame) -> DataFrame:
-    """``series_id, step_ms, lower, upper`` of each series; recorded limits win over the nature of the unit."""
+    """``series_id, step_ms, lower, upper`` of each series; recorded limits win over the nature of the unit.
+
+    A limit that is neither recorded nor in the unit's nature is none; units without a known nature are warned of.
+    """
     nature = series.sparkSession.createDataFrame([(k, *v) for k, v in UNIT_NATURE.items()], "unit string, low double, high double")
     ok = lambda c: F.when(~F.isnan(c), F.col(c))
     spec = specs.join(F.broadcast(nature), "unit", "left").groupBy("metric").agg(
         F.max(F.coalesce(ok("lower_limit"), F.col("low"))).alias("lower"), F.min(F.coalesce(ok("upper_limit"), F.col("high"))).alias("upper")
     )
+    unknown = specs.where(F.col("unit").isNotNull() & (F.col("lower_limit").isNull() | F.col("upper_limit").isNull())).join(F.broadcast(nature), "unit", "left_anti")
+    if names := [r["unit"] for r in unknown.select("unit").distinct().limit(20).collect()]:
+        warnings.warn(f"nothing is known of what these units can't measure: {names}", stacklevel=2)
     one = series.where("series_id IS NOT NULL").groupBy("series_id").agg(F.min("metric").alias("metric"), F.min(F.when(F.col("step_ms") > 0, F.col("step_ms"))).alias("step_ms"))
-    return one.join(F.broadcast(spec), "metric", "left").select("series_id", F.coalesce("step_ms", F.lit(60_000)).alias("step_ms"), "lower", "upper")  # one row a metric
+    return one.join(spec, "metric", "left").select("series_id", F.coalesce("step_ms", F.lit(60_000)).alias("step_ms"), "lower", "upper")
 
 
 # ---- the forest
@@ -305,7 +312,7 @@ def judge(seg: np.ndarray, ts: np.ndarray, value: np.ndarray, rules: Rules, dail
 def _even_units(readings: DataFrame) -> DataFrame:
     """Divides units that hold far more readings than a shard, as a series that outruns its step makes them, by time."""
     dense = readings.groupBy("series_id", "unit", "unit_ms").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * SHARD_ROWS)
-    dense = dense.select("series_id", "unit", F.ceil(F.col("n") / SHARD_ROWS).alias("parts"))
+    dense = stage(dense.select("series_id", "unit", F.ceil(F.col("n") / SHARD_ROWS).alias("parts")), "p4-dense")
     finer = F.lit(1 << 20)
     if not dense.take(1):
         return readings.withColumn("unit", F.col("unit") * finer)
@@ -352,7 +359,7 @@ def score_readings(points: DataFrame, series: DataFrame, specs: DataFrame, rules
     flags, after scoring. Stages the distinct readings.
     """
     rules = rules or Rules()
-    bounds = broadcast_if_small(limits(series, specs))
+    bounds = small(limits(series, specs), "p4-limits")
     rows = points.where("value IS NOT NULL AND NOT isnan(value) AND series_id IS NOT NULL AND ts_ms IS NOT NULL")
     rows = rows.groupBy("series_id", "ts_ms", "value").agg(F.coalesce(F.min("seq"), F.lit((1 << 63) - 1)).alias("seq"))
     rows = rows.join(bounds, "series_id", "left")

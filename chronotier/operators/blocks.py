@@ -24,11 +24,16 @@ def block_number(filename: Column) -> Column:
 
 
 def live_blocks(manifest: DataFrame, level: int | None = None) -> DataFrame:
-    """``level, block_id`` of each live file once; lines without a level or a number are dropped."""
+    """``level, block_id`` of each live file once; lines without a level or a number are those of ``unreadable_lines``."""
     m = manifest if level is None else manifest.where(F.col("level") == level)
     return m.select("level", block_number(F.col("filename")).alias("block_id")).where("level IS NOT NULL AND block_id IS NOT NULL").distinct()
 
 
+def unreadable_lines(manifest: DataFrame) -> DataFrame:
+    """Lines that name no block: without a level, without a file name, or with one that holds no number."""
+    return manifest.where(F.col("level").isNull() | block_number(F.col("filename")).isNull())
+
+
 def check_levels(manifest: DataFrame) -> None:
     """Raises on a level the engine doesn't know; such a line is never dropped in silence. Runs a job."""
     bad = [r[0] for r in manifest.where(~F.col("level").isin(0, 1, 2, 3)).select("level").distinct().take(5)]

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import finite
-from ..session import broadcast_if_small
+from ..session import small
 
 SHARD = 4096
 #: A silence longer than this ends the series for then.
@@ -30,7 +30,7 @@ def knots(points: DataFrame, series: DataFrame) -> DataFrame:
     rows = points.where(finite(F.col("value")) & F.col("ts_ms").isNotNull()).select("series_id", "ts_ms", "value", "seq")
     slot = F.col("ts_ms") - F.pmod("ts_ms", "step_ms")
     return (
-        rows.join(broadcast_if_small(steps), "series_id")
+        rows.join(small(steps, "p5-steps"), "series_id")
         .groupBy("series_id", "step_ms", slot.alias("slot_ms"))
         .agg(F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("ts"), F.max_by("value", F.struct("ts_ms", "seq", "value")).alias("value"))
     )

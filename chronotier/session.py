@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: What a broadcast side may take at most, in memory.
+BROADCAST_BYTES = 16 << 20
 
 _FALLBACK: str | None = None
 
@@ -33,11 +38,14 @@ def local_session(app: str = "chronotier", cores: str = "8", partitions: int = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, one machine)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset and all of Spark runs in
+    this process. A cluster without the setting raises: executors would write to disks of their own."""
     global _FALLBACK
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _FALLBACK is None:
         _FALLBACK = tempfile.mkdtemp(prefix="chronotier-")
         atexit.register(shutil.rmtree, _FALLBACK, ignore_errors=True)
@@ -62,10 +70,34 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """Marks ``df`` for a broadcast if it has at most so many rows (a few dozen MB for a narrow dimension), which it
-    counts; a larger one is left to a shuffled join, which adaptive execution splits where a key is hot."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def memory_bytes(df: DataFrame) -> int:
+    """Bytes of the rows of ``df`` as Spark holds them, about: eight a field, and what strings and arrays contain.
+
+    One aggregation; meant for staged tables, which it reads without computing them again.
+    """
+    size = F.lit(0).cast("long")
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.ArrayType):
+            size = size + 16 + 8 * F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0))
+        elif isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + 16 + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, (T.StructType, T.MapType)):
+            raise TypeError(f"column {f.name} has no simple size")
+        else:
+            size = size + 8
+    return int(df.agg(F.coalesce(F.sum(size + 16), F.lit(0)).alias("b")).first()["b"])
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a staged ``df`` for a broadcast if its rows take at most ``limit`` bytes; a larger one is left to a shuffled
+    join, which adaptive execution splits where a key is hot."""
+    return F.broadcast(df) if memory_bytes(df) <= limit else df
+
+
+def small(df: DataFrame, name: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` staged, so that it is computed once, and marked for a broadcast if it is small."""
+    return broadcast_if_small(stage(df, name), limit)
 
 
 def drop_stages(spark: SparkSession) -> None:

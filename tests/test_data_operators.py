@@ -33,7 +33,7 @@ def brute_pairs(rows, live):
 
 
 def manifest(spark, ids):
-    return spark.createDataFrame([(0, f"{i:08d}.blk") for i in ids] + [(0, f"./L0/{ids[0]}.blk"), (0, "00009999.blk"), (1, "00000077.blk")], "level int, filename string")
+    return spark.createDataFrame([(0, f"{i:08d}.blk") for i in ids] + [(0, f"./L0/{ids[0]}.BLK "), (0, "00009999.BLK"), (1, "00000077.blk"), (0, None), (None, "00000078.blk"), (1, "junk")], "level int, filename string")
 
 
 def test_consolidation_against_brute_force(spark):
@@ -62,11 +62,32 @@ def test_one_file_a_bin_and_verification(spark, tmp_path, monkeypatch):
     assert sizes == [200] * 5
     per_file = done.points.withColumn("f", F.input_file_name()).groupBy("f").agg(F.countDistinct("file").alias("n")).collect()
     assert len(per_file) == 5 and all(r["n"] == 1 for r in per_file)
+    with pytest.raises(FileNotFoundError):
+        consolidation.committed(spark, str(tmp_path / "none"))
+    kept = consolidation.consolidate(pts(spark, rows), m, rows_per_file=200, path=str(tmp_path / "kept"))
+    assert consolidation.committed(spark, str(tmp_path / "kept"))[0].count() == 1000 == kept.points.count()
+    assert [r[0] for r in kept.absent.collect()] == [9999] and kept.unreadable == 2
     monkeypatch.setattr(consolidation, "_content", lambda df, by: df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.floor(F.rand() * 1e9).cast("long").alias("checksum")))
     with pytest.raises(consolidation.VerificationError):
         consolidation.consolidate(pts(spark, rows), m, rows_per_file=200)
 
 
+def test_copies_are_pairs_of_their_class(spark):
+    rnd = random.Random(11)
+    rows = [(1, t, 1.0, t, b) for b in range(1, 13) for t in range(4)]  # twelve copies
+    rows += [(1, t, 1.0, 100 + t, b) for b in (20, 21) for t in range(6)]  # two larger blocks that hold them
+    rows += [(1, 3, 1.0, 200, 30), (2, 9, None, 201, 31), (2, 9, None, 202, 32), (2, 9, NAN, 203, 33)]
+    rows += [(3, rnd.randrange(4), 0.0, 300 + i, rnd.randrange(40, 60)) for i in range(80)]
+    live = sorted({r[4] for r in rows})
+    done = consolidation.consolidate(pts(spark, rows), manifest(spark, live))
+    got = sorted(tuple(r) for r in consolidation.contained_blocks(done).collect())
+    assert got == brute_pairs(rows, set(live))
+    classes, pairs = consolidation.containment(done)
+    rep = {r["block"]: r["rep"] for r in classes.collect()}
+    assert [rep[b] for b in (1, 12, 20, 21, 32, 33)] == [1, 1, 20, 20, 31, 33]
+    assert (1, 20) in {tuple(r) for r in pairs.collect()} and all(rep[a] == a and rep[b] == b for a, b in pairs.collect())
+
+
 def test_consolidation_of_nothing(spark):
     empty = pts(spark, [])
     done = consolidation.consolidate(empty, manifest(spark, [1]))
