@@ -1,10 +1,13 @@
 """Percentiles for each group over any number of values: exact by bisection, or bounded from mergeable summaries.
 
 Values are mapped to integers that order as they do (``ordered_key``), so that halving an interval of keys is halving
-an interval of values on the scale of doubles. A pass splits every open interval of every group at ``2^BITS - 1``
-midpoints, counts the rows below each of them in one partial aggregation, and keeps the part that holds the target
-rank, shrunk to the values that occur in it. It ends when each interval holds a single value: after a few passes on
-measurements, after ``64 / BITS + 1`` at most. No group is ever in one task; a pass shuffles counts, never rows.
+an interval of values on the scale of doubles. The first pass cuts the whole range at fixed keys, the cells of the
+summaries made coarser, and counts rows between them; each later pass splits every open interval at ``2^BITS - 1``
+midpoints, counts the rows below each of them, and keeps the part that holds the target rank, shrunk to the values that
+occur in it. It ends when each interval holds a single value: after a few passes on measurements, after ``64 / BITS + 1``
+at most. A pass aggregates before it shuffles and no group is ever in one task. All rows are read twice: by the first
+pass, and to take along those inside open intervals, a small share of them, which is all that later passes read. Only if
+the list of open intervals is too large for a broadcast, the second reading shuffles rows, once.
 """
 
 from __future__ import annotations
@@ -15,10 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import finite, ordered_key
-from ..session import broadcast_if_small, stage
+from ..functions import day_number, finite, ordered_key
+from ..session import small, stage
 
 BITS = 6
+#: Bits of a key that the first pass drops: six bits of the mantissa stay, so that a group has some hundred parts.
+FIRST_SHIFT = 46
 #: Bits of a key that a summary drops: 52 - 43 = 9 bits of the mantissa stay, so bounds are within 1/512 of the value.
 CELL_SHIFT = 43
 
@@ -36,13 +41,13 @@ def _checked(by: Sequence[str]) -> list[str]:
 
 
 def weighted(values: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
-    """Distinct finite values of each group with their number of rows: ``by..., __v, __key, __w``.
+    """Finite values of each group with a weight: ``by..., __v, __key, __w``. Nothing is shuffled.
 
     Null, NaN and infinite values are left out; -0.0 is 0.0. Groups may be null in any column.
     """
     v = F.col(value).cast("double") + 0.0
-    rows = values.where(finite(F.col(value).cast("double"))).groupBy(*by, v.alias("__v")).agg(F.count(F.lit(1)).alias("__w"))
-    return rows.withColumn("__key", ordered_key(F.col("__v")))
+    rows = values.where(finite(F.col(value).cast("double"))).select(*by, v.alias("__v"), F.lit(1).cast("long").alias("__w"))
+    return rows.select(*by, "__v", ordered_key(F.col("__v")).alias("__key"), "__w")
 
 
 def _same(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> Column:
@@ -62,36 +67,42 @@ def percentiles(rows: DataFrame, by: Sequence[str], ps: Sequence[float] = (0.5,
     if any(not 0 < p <= 1 for p in ps):
         raise ValueError("percentiles must be in (0, 1]")
     by = _checked(by)
+    stats = [F.sum("__w").alias("__c"), F.min("__key").alias("__k0"), F.max("__key").alias("__k1"), F.min("__v").alias("__v0"), F.max("__v").alias("__v1")]
+    cells = stage(rows.groupBy(*by, F.shiftright("__key", FIRST_SHIFT).alias("__part")).agg(*stats), "p1-cells")
+    whole = W.partitionBy(*by)
     each = F.explode(F.array(*[F.lit(float(p)) for p in ps])).alias("p")
-    whole = rows.groupBy(*by).agg(F.sum("__w").alias("n"), F.min("__key").alias("__lo"), F.max("__key").alias("__hi"), F.min("__v").alias("low"), F.max("__v").alias("high"))
-    state = whole.select(*by, "n", "__lo", "__hi", "low", "high", each, F.lit(0).cast("long").alias("__below"))
-    state = stage(state.withColumn("__rank", target_rank(F.col("p"), F.col("n"))), "p1-state")
+    cells = cells.withColumns({"n": F.sum("__c").over(whole), "__upto": F.sum("__c").over(whole.orderBy("__part"))})  # a row a cell
+    first = cells.select("*", each).withColumn("__rank", target_rank(F.col("p"), F.col("n")))
+    first = first.where((F.col("__rank") <= F.col("__upto")) & (F.col("__rank") > F.col("__upto") - F.col("__c")))
+    below = (F.col("__upto") - F.col("__c")).alias("__below")
+    kept = [F.col("__k0").alias("__lo"), F.col("__k1").alias("__hi"), F.col("__v0").alias("low"), F.col("__v1").alias("high")]
+    state = stage(first.select(*by, "n", *kept, "p", below, "__rank"), "p1-state")
     # The bits of the span, halved first so that it can't overflow, set how far keys are shifted to give 2^BITS parts.
     open_ = (F.col("__hi") > F.col("__lo")) & (F.shiftright("__hi", 1) - F.shiftright("__lo", 1) >= (1 << tolerance_bits) // 2)
     finished: list[DataFrame] = []
     cols = [*by, "p", "n", "low", "high"]
-    for _ in range(max_passes):
+    span = F.shiftright("__hi", 1) - F.shiftright("__lo", 1)
+    shift = F.greatest(F.length(F.bin(span)) + 1 - BITS, F.lit(0)).cast("int")
+    for k in range(max_passes):
         finished.append(state.where(~open_).select(*cols))
         todo = state.where(open_)
         if not todo.take(1):
             break
-        span = F.shiftright("__hi", 1) - F.shiftright("__lo", 1)
-        shift = F.greatest(F.length(F.bin(span)) + 1 - BITS, F.lit(0)).cast("int")
-        cuts = broadcast_if_small(todo.select(*by, "__lo", "__hi").distinct().withColumn("__s", shift), 500_000)
+        cuts = small(todo.select(*by, "__lo", "__hi").distinct().withColumn("__s", shift), "p1-cuts")
         hit = rows.join(cuts, _same(rows, cuts, by) & rows["__key"].between(cuts["__lo"], cuts["__hi"])).select(
-            *[rows[c] for c in by], "__lo", "__hi", "__key", "__v", "__w", F.expr("shiftright(__key, __s) - shiftright(__lo, __s)").alias("__part")
-        )
-        counts = hit.groupBy(*by, "__lo", "__hi", "__part").agg(
-            F.sum("__w").alias("__c"), F.min("__key").alias("__k0"), F.max("__key").alias("__k1"), F.min("__v").alias("__v0"), F.max("__v").alias("__v1")
+            *[rows[c] for c in by], "__lo", "__hi", "__s", "__key", "__v", "__w"
         )
+        if k == 0:  # from here on only what lies in open intervals is read; equal values are one row
+            kept_rows = hit.groupBy(*by, "__lo", "__hi", "__s", "__key").agg(F.min("__v").alias("__v"), F.sum("__w").alias("__w"))
+            hit = stage(kept_rows, "p1-open")
+            rows = hit.select(*by, "__key", "__v", "__w")  # intervals of a group are disjoint, so no row came twice
+        part = F.expr("shiftright(__key, __s) - shiftright(__lo, __s)").alias("__part")
+        counts = hit.groupBy(*by, "__lo", "__hi", part).agg(*stats)
         # At most 2^BITS + 1 parts an interval.
-        upto = F.sum("__c").over(W.partitionBy(*by, "__lo", "__hi").orderBy("__part"))
-        counts = counts.withColumn("__upto", upto)
-        pick = todo.join(counts, _same(todo, counts, [*by, "__lo", "__hi"]) & (todo["__rank"] - todo["__below"] <= counts["__upto"]) & (todo["__rank"] - todo["__below"] > counts["__upto"] - counts["__c"]))
-        state = stage(
-            pick.select(*[todo[c] for c in by], "n", F.col("__k0").alias("__lo"), F.col("__k1").alias("__hi"), F.col("__v0").alias("low"), F.col("__v1").alias("high"), "p", (F.col("__below") + F.col("__upto") - F.col("__c")).alias("__below"), "__rank"),
-            "p1-state",
-        )
+        counts = counts.withColumn("__upto", F.sum("__c").over(W.partitionBy(*by, "__lo", "__hi").orderBy("__part")))
+        at = todo["__rank"] - todo["__below"]
+        pick = todo.join(counts, _same(todo, counts, [*by, "__lo", "__hi"]) & (at <= counts["__upto"]) & (at > counts["__upto"] - counts["__c"]))
+        state = stage(pick.select(*[todo[c] for c in by], "n", *kept, "p", (F.col("__below") + F.col("__upto") - F.col("__c")).alias("__below"), "__rank"), "p1-state")
     else:
         raise RuntimeError("an interval is still open")
     out = finished[0]
@@ -163,29 +174,28 @@ def metrics_of(series: DataFrame) -> DataFrame:
 def all_values(points: DataFrame, series: DataFrame, buckets: DataFrame) -> DataFrame:
     """Weighted values of every group asked for: by series and by metric of the readings, by series and level of the
     buckets' ``p99`` and ``count`` (rows repeated in full count once). Readings of a series without metric count under a
-    null name."""
+    null name. The readings are staged once and read under both their names."""
     none = F.lit(None)
-    by_series = stage(weighted(readings(points), ["series_id"]), "p1-series")
-    by_metric = by_series.join(broadcast_if_small(metrics_of(series)), "series_id", "left").groupBy("metric", "__v", "__key").agg(F.sum("__w").alias("__w"))
+    base = stage(weighted(readings(points), ["series_id"]), "p1-readings")
+    named = base.join(small(metrics_of(series), "p1-metrics"), "series_id", "left")
     rows = buckets.distinct().select("series_id", "level", "p99", F.col("count").cast("double").alias("count"))
+    rows = stage(rows, "p1-buckets")
     vkw = [F.col("__v"), F.col("__key"), F.col("__w")]
-    out = _named(by_series, "series", F.col("series_id"), none, *vkw).unionByName(_named(by_metric, "metric", F.col("metric"), none, *vkw))
+    out = _named(base, "series", F.col("series_id"), none, *vkw).unionByName(_named(named, "metric", F.col("metric"), none, *vkw))
     for c in ("p99", "count"):
         out = out.unionByName(_named(weighted(rows, ["series_id", "level"], c), f"rollup_{c}", F.col("series_id"), F.col("level"), *vkw))
-    return stage(out, "p1-values")
+    return out
 
 
 def all_summaries(points: DataFrame, series: DataFrame, buckets: DataFrame) -> DataFrame:
     """Daily summaries of the same groups."""
-    from ..functions import day_number
-
     none = F.lit(None)
     r = readings(points).withColumn("day", day_number(F.col("ts_ms")))
     s = stage(summarise(r, ["series_id"], ["day"]), "p1-daily")
-    m = s.join(broadcast_if_small(metrics_of(series)), "series_id", "left").groupBy("metric", "day", "__cell").agg(F.sum("__w").alias("__w"))
+    m = s.join(small(metrics_of(series), "p1-metrics"), "series_id", "left").groupBy("metric", "day", "__cell").agg(F.sum("__w").alias("__w"))
     rest = [F.col("day"), F.col("__cell"), F.col("__w")]
     out = _named(s, "series", F.col("series_id"), none, *rest).unionByName(_named(m, "metric", F.col("metric"), none, *rest))
-    b = buckets.distinct().withColumn("day", day_number(F.col("bucket_start"))).withColumn("count", F.col("count").cast("double"))
+    b = stage(buckets.distinct().select("series_id", "level", day_number(F.col("bucket_start")).alias("day"), "p99", F.col("count").cast("double").alias("count")), "p1-buckets")
     for c in ("p99", "count"):
         out = out.unionByName(_named(summarise(b, ["series_id", "level"], ["day"], c), f"rollup_{c}", F.col("series_id"), F.col("level"), *rest))
     return out
