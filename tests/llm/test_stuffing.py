@@ -85,8 +85,36 @@ def test_spelling_is_undone():
 
 
 def test_weak_labels():
-    label = lambda t: (lambda c: stuffing.weak_label(stuffing.page_signals(c, stuffing.words(c))))(stuffing.clean(t))
+    label = lambda t: (lambda got: None if got[0] < 0 else got[0])(stuffing.read_page(t))
     assert label("buy lamp cheap lamp " * 10) == 1
     assert label(review(random.Random(1))) in (0, None)
-    assert label("Too loud") == 0
+    assert label("Too loud") == 0 == label("Verdict:great")
+    assert label("#sale #shop #cheap") == 1 == label("http://shop7.example/lamp")
+    assert label("buycheaplamp" * 40) == 1 and label("s" + "o" * 300) != 1
     assert label("The cable is fine. My sister wanted one at once, so we ordered it.") == 0
+
+
+def test_links_and_runs_are_chunks_and_nothing_is_cut_off():
+    t = 'See <a href="http://shop7.example/lamp">this lamp</a> and ' + "buycheaplamp" * 40 + " now."
+    pieces = stuffing.items(stuffing.clean(t))
+    assert [k for k, _ in pieces] == ["text", "link", "text", "run", "text"] and "".join(p for _, p in pieces) == stuffing.clean(t)
+    assert pieces[1][1] == "[this lamp](http://shop7.example/lamp)"
+    assert stuffing.words(pieces[3][1]) == ["buycheaplamp" * 40]
+    assert stuffing.words("donaudampfschifffahrtsgesellschaft") == ["donaudampfschifffahrtsgesellschaft"]
+    assert stuffing.repetition("buycheaplamp" * 40) > 0.9 and stuffing.repetition("so" * 200) == 0
+    label, chars, n_words, ids, lengths, own = stuffing.read_page(t)
+    assert len(chars) == len(n_words) == len(own) // len(stuffing.OWN) and sum(n_words) == len(ids) == len(lengths)
+    assert stuffing.read_page("")[1:] == ([], [], [], [], [])
+
+
+def test_the_host_decides_what_is_in_doubt(spark):
+    rows = [(i, "farm", 1.0, 0.0) for i in range(300)] + [(1000 + i, "clean", 0.0, 0.0) for i in range(300)]
+    rows += [(5000, "farm", 0.4, 0.8), (5001, "clean", 0.6, 0.8), (5002, "farm", 0.4, 0.0), (5003, "clean", 0.6, 0.0), (5004, "new", 1.0, 0.1), (5005, "farm", 0.02, 0.3)]
+    shares = spark.createDataFrame(rows, "doc_id long, source string, share double, doubt double")
+    out = {r["doc_id"]: r for r in stuffing.smooth_by_host(shares).where("doc_id >= 5000").collect()}
+    assert {i for i, r in out.items() if r["stuffed"]} == {5000, 5003, 5004}
+    alone = {r["doc_id"] for r in stuffing.smooth_by_host(shares, host_pull=0.0).where("stuffed AND doc_id >= 5000").collect()}
+    assert alone == {5001, 5003, 5004}  # by their shares alone the doubtful pages come out the other way round
+    whole = 303 / 606
+    assert out[5004]["host_rate"] == pytest.approx(whole)  # without the page itself its host has no page
+    assert out[5000]["host_rate"] == pytest.approx((300 + 50 * whole) / 352)
