@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import small, stage
 from . import tokens
 
 DEPTH, ITERATIONS = 3, 300
@@ -222,11 +222,11 @@ def pack(items: DataFrame, capacity: int, keep: tuple[str, ...] = ("doc_id",), s
     plan = make_plan(histogram, capacity)
     # Offsets: of each bucket among those of its length, and of its full containers among all.
     before = F.coalesce(F.sum("c").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("length", "bucket", before.alias("offset"))
+    offsets = small(counts.select("length", "bucket", before.alias("offset")), "p7-offsets")
     big = rows.where("full > 0").groupBy("bucket").agg(F.sum("full").alias("f"))
     big_before = F.coalesce(F.sum("f").over(W.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    big = big.select("bucket", big_before.alias("first_full"))
-    ranked = rows.join(F.broadcast(offsets), ["length", "bucket"])  # at most (capacity + 1) times the buckets
+    big = small(big.select("bucket", big_before.alias("first_full")), "p7-full")  # a row for 200,000 items
+    ranked = rows.join(offsets, ["length", "bucket"])
     ranked = ranked.withColumn("rank", F.col("offset") + F.row_number().over(W.partitionBy("length", "bucket").orderBy("uid")) - 1)
     kinds = dict(rows.dtypes)
     schema = ", ".join([f"{k} {kinds[k]}" for k in names] + ["part long, tokens long, container_id long"])
@@ -238,7 +238,7 @@ def pack(items: DataFrame, capacity: int, keep: tuple[str, ...] = ("doc_id",), s
 
     last = ranked.select(*names, "full", "length", "rank").mapInPandas(assign, schema)
     own = W.partitionBy("bucket").orderBy("uid").rowsBetween(W.unboundedPreceding, -1)
-    split = rows.where("full > 0").join(F.broadcast(big), "bucket")  # a row a bucket
+    split = rows.where("full > 0").join(big, "bucket")
     split = split.withColumn("first", F.col("first_full") + F.coalesce(F.sum("full").over(own), F.lit(0)))
     parts = split.select(*names, "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("part"))
     whole = parts.select(*names, "part", F.lit(capacity).cast("long").alias("tokens"), (F.lit(plan.containers) + F.col("first") + F.col("part")).alias("container_id"))

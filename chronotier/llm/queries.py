@@ -26,32 +26,44 @@ def query(sql: str | None = None):
 
 # ---- 1: percentiles
 
-_VALUES = """WITH r AS (SELECT series_id, seq, min(value) AS v FROM points WHERE isfinite(value) GROUP BY 1, 2), b AS (SELECT DISTINCT * FROM rollup_buckets),
-  v AS (SELECT 'series' AS scope, series_id::VARCHAR AS name, NULL::INTEGER AS level, v FROM r
-  UNION ALL SELECT 'metric', metric, NULL, v FROM r LEFT JOIN (SELECT series_id, min(metric) AS metric FROM series GROUP BY 1) USING (series_id)
-  UNION ALL SELECT 'rollup_p99', series_id::VARCHAR, level, p99 FROM b WHERE isfinite(p99)
-  UNION ALL SELECT 'rollup_count', series_id::VARCHAR, level, count::DOUBLE FROM b WHERE count IS NOT NULL),
+_VALUES = """WITH r AS (SELECT series_id, seq, min(value) AS v, min(ts_ms) // 86400000 AS day FROM points WHERE isfinite(value) GROUP BY 1, 2), b AS (SELECT DISTINCT * FROM rollup_buckets),
+  v AS (SELECT 'series' AS scope, series_id::VARCHAR AS name, NULL::INTEGER AS level, v, day FROM r
+  UNION ALL SELECT 'metric', metric, NULL, v, day FROM r LEFT JOIN (SELECT series_id, min(metric) AS metric FROM series GROUP BY 1) USING (series_id)
+  UNION ALL SELECT 'rollup_p99', series_id::VARCHAR, level, p99, bucket_start // 86400000 FROM b WHERE isfinite(p99)
+  UNION ALL SELECT 'rollup_count', series_id::VARCHAR, level, count::DOUBLE, bucket_start // 86400000 FROM b WHERE count IS NOT NULL),
   k AS (SELECT *, row_number() OVER (PARTITION BY scope, name, level ORDER BY v) AS rn, count(*) OVER (PARTITION BY scope, name, level) AS n FROM v)"""
 
 
-@query(_VALUES + """ SELECT scope, name, level, p, n, v AS value FROM k, (SELECT unnest([0.5, 0.9, 0.99])::DOUBLE AS p)
-  WHERE rn = least(greatest(ceil(round(p * n, 6)), 1), n)""")
+_EXACT = _VALUES + """, x AS (SELECT scope, name, level, p, n, v FROM k, (SELECT unnest([0.5, 0.9, 0.99])::DOUBLE AS p)
+  WHERE rn = least(greatest(ceil(round(p * n, 6)), 1), n))"""
+# The exponent of each value: the logarithm's floor, put right where rounding took it over a power of two.
+_EXPONENT = "(SELECT *, abs(v) AS a, floor(log2(abs(nullif(v, 0)))) AS g FROM {t})"
+_POWER = "CASE WHEN a / pow(2, g) < 1 THEN g - 1 WHEN a / pow(2, g) >= 2 THEN g + 1 ELSE g END"
+
+
+@query(_EXACT + " SELECT scope, name, level, p, n, v AS value FROM x")
 def p1_percentiles(spark, d):
     """Exact percentiles of readings by series and by metric, and of rollup statistics by series and level."""
     values = pct.all_values(table(spark, d, "points"), table(spark, d, "series"), table(spark, d, "rollup_buckets"))
     return pct.percentiles(values, pct.BY).select(*pct.BY, "p", "n", "value")
 
 
-@query()
+@query(_VALUES + f""", e AS (SELECT *, {_POWER} AS e FROM {_EXPONENT.format(t='v')}), q AS (SELECT *, (e + 1022) * 512 + a / pow(2, e) * 512 AS q FROM e)
+  SELECT scope, name, level, day, CASE WHEN v = 0 THEN 0 WHEN v > 0 THEN floor(q)::BIGINT ELSE -ceil(q)::BIGINT END AS cell, count(*) AS rows FROM q
+  GROUP BY 1, 2, 3, 4, 5""")
 def p1_daily_summaries(spark, d):
-    """The mergeable form: counts of value cells for each group and day."""
+    """The mergeable form: counts of value cells for each group and day. A cell is 1/512 of a power of two."""
     days = pct.all_summaries(table(spark, d, "points"), table(spark, d, "series"), table(spark, d, "rollup_buckets"))
     return days.withColumnsRenamed({"__cell": "cell", "__w": "rows"})
 
 
-@query()
+@query(_EXACT + f""", e AS (SELECT *, {_POWER} AS e FROM {_EXPONENT.format(t='x')}), s AS (SELECT *, pow(2, e - 9) AS step,
+  CASE WHEN v < 0 AND a = pow(2, e) THEN pow(2, e - 10) ELSE pow(2, e - 9) END AS width FROM e)
+  SELECT scope, name, level, p, n, CASE WHEN v = 0 THEN 0 WHEN v > 0 THEN floor(a / step) * step ELSE -(ceil(a / step) * step) END AS low,
+  CASE WHEN v = 0 THEN 8796093022207 * 4.94065645841246544e-324 WHEN v > 0 THEN floor(a / step) * step + width * (1 - pow(2, -43))
+  ELSE -(ceil(a / step) * step - width * (1 - pow(2, -43))) END AS high FROM s""")
 def p1_combined(spark, d):
-    """Bounds of the same percentiles from the daily summaries alone."""
+    """Bounds of the same percentiles from the daily summaries alone: the cell that the exact value lies in."""
     days = pct.all_summaries(table(spark, d, "points"), table(spark, d, "series"), table(spark, d, "rollup_buckets"))
     return pct.from_summary(pct.combine(days, pct.BY), pct.BY)
 
