@@ -2,7 +2,9 @@
 
 Layout under the root: ``staging/<batch>`` holds accepted points that are in no block yet (what a log and a memory
 table are elsewhere), ``L0 .. L3/<block>`` immutable Parquet blocks, ``series/<n>`` the label dictionary, and
-``_manifest`` names what is live. What the manifest doesn't name does not exist for a reader.
+``_manifest`` names what is live. What the manifest doesn't name does not exist for a reader. Commits delete nothing:
+what they take off the lists is marked as retired and stays, for results that still read it, until ``vacuum`` finds it old
+enough.
 """
 
 from __future__ import annotations
@@ -12,16 +14,21 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import canonical_labels
 from .operators import blocks as block_ops
 from .operators import index, rollup, router
+from .operators.consolidation import VerificationError, first_fit_decreasing, point_hash
 from .schemas import POINTS, RESULT, ROLLUP, SERIES, STAGED
 from .sources.manifest import Block, CommitConflict, Manifest, ManifestStore
 
 HOUR_MS, DAY_MS = 3_600_000, 86_400_000
+FOLDERS = ("L0", "L1", "L2", "L3", "staging", "series")
+#: Marks a folder that a commit has taken off the lists; Spark reads past names that begin so.
+RETIRED = "_retired"
 
 
 @dataclass(frozen=True)
@@ -32,17 +39,26 @@ class Compaction:
     target_rows: int = 0
 
 
+@dataclass(frozen=True)
+class Consolidated:
+    ran: bool
+    source_blocks: int = 0
+    target_blocks: int = 0
+    rows: int = 0
+
+
 class Engine:
     """``clock`` gives unix milliseconds; ``failpoint`` is called with a name around each commit, for tests.
 
-    ``flush_threshold`` counts distinct (series, time) keys, as they would come out of the flush.
+    ``flush_threshold`` counts distinct (series, time) keys, as they would come out of the flush. ``grace_s`` is how long
+    retired files stay at least, which should exceed the longest job that reads or writes here.
     """
 
     def __init__(
         self, spark: SparkSession, root: str, flush_threshold: int = 50_000, clock: Callable[[], int] | None = None,
-        failpoint: Callable[[str], None] | None = None,
+        failpoint: Callable[[str], None] | None = None, grace_s: int = 3600,
     ):
-        self.spark, self.root, self.flush_threshold = spark, root.rstrip("/"), flush_threshold
+        self.spark, self.root, self.flush_threshold, self.grace_s = spark, root.rstrip("/"), flush_threshold, grace_s
         self.clock = clock or (lambda: int(time.time() * 1000))
         self.failpoint = failpoint or (lambda name: None)
         self.store = ManifestStore(spark, self.root)
@@ -93,8 +109,7 @@ class Engine:
         a replayed stream batch changes nothing. Rows without labels or time are dropped. Returns the points staged.
         """
         m = self.manifest
-        batch = batch or uuid.uuid4().hex
-        if _accepted(batch, m.batches):
+        if batch and _accepted(batch, m.batches):
             return 0
         labels = F.col("labels")
         if dict(points.dtypes)["labels"].startswith("map"):
@@ -108,14 +123,21 @@ class Engine:
         added = self.spark.read.schema(SERIES).parquet(path)
         n_new = added.count()
         series = known.unionByName(added) if n_new else known
+        if not n_new:
+            self.store.files.delete(path)
         staged = f"{self.root}/staging/{m.version:012d}-{uuid.uuid4().hex[:8]}"
         rows.join(series, "labels").select("series_id", "ts_ms", "value", "seq").write.parquet(staged)
         self.failpoint("post_stage_pre_manifest")
         m = replace(
             m, next_series=m.next_series + n_new, series_files=m.series_files + ((path,) if n_new else ()),
-            staged=m.staged + (staged,), batches=_with_batch(batch, m.batches),
+            staged=m.staged + (staged,), batches=_with_batch(batch, m.batches) if batch else m.batches,
         )
-        self.store.commit(m)
+        try:
+            self.store.commit(m)
+        except CommitConflict:  # the next attempt writes its own
+            for p in (path, staged):
+                self.store.files.delete(p)
+            raise
         count = self.spark.read.schema(STAGED).parquet(staged).count()
         # Rows are counted from file footers; keys only once there are rows enough.
         waiting = self.spark.read.schema(STAGED).option("recursiveFileLookup", "true").parquet(*m.staged)
@@ -134,12 +156,16 @@ class Engine:
             return None
         block = self._write_block(self.memtable(m), 0, m.next_block)
         self.failpoint("post_l0_write_pre_manifest")
-        self.store.commit(replace(m.swap([], [block] if block.row_count else []), next_block=m.next_block + 1, staged=()))
-        self.failpoint("post_manifest_pre_wal_unlink")
-        for path in m.staged:
-            self.store.files.delete(path)
+        self._commit(m, m.staged, m.swap([], [block] if block.row_count else []), "post_manifest_pre_wal_unlink", next_block=m.next_block + 1, staged=())
         return block
 
+    def _commit(self, m: Manifest, gone: Sequence[str], new: Manifest, failpoint: str, **other) -> None:
+        """Commits ``new``, with what it leaves behind as retired since now, and marks that on disk for a bootstrap."""
+        self.store.commit(replace(new, retired=m.retired + tuple((p, self.clock()) for p in gone), **other))
+        self.failpoint(failpoint)
+        for p in gone:
+            self.store.files.touch(f"{p}/{RETIRED}")
+
     def _write_block(self, rows: DataFrame, level: int, block_id: int) -> Block:
         path = f"{self.root}/L{level}/{block_id:08d}-{uuid.uuid4().hex[:8]}"
         ts = "ts_ms" if level == 0 else "bucket_start"
@@ -154,7 +180,9 @@ class Engine:
     # ---- compaction
 
     def compact(self, width_ms: int = HOUR_MS, min_age_s: int = 0) -> Compaction:
-        """L0 to L1: every block old enough goes into one block of buckets and leaves L0."""
+        """L0 to L1: every block old enough goes into one block of buckets and leaves L0.
+
+        A block is a folder of files, range partitioned by series and time, so that its size is no one task's."""
         return self._compact(0, width_ms, min_age_s, rollup.downsample, "l1", "l0")
 
     def compact_rollup(self, source_level: int, width_ms: int = DAY_MS, min_age_s: int = 0) -> Compaction:
@@ -173,42 +201,126 @@ class Engine:
         block = self._write_block(how(self._read(old, level), width_ms), level + 1, m.next_block)
         suffix = "" if level == 0 else f"_L{level + 1}"
         self.failpoint(f"post_{target_name}_write_pre_manifest_rename{suffix}")
-        self.store.commit(replace(m.swap(old, [block]), next_block=m.next_block + 1))
         before_delete = "post_manifest_rename_pre_l0_delete" if level == 0 else f"post_rollup_manifest_rename_pre_source_delete{suffix}"
-        self.failpoint(before_delete)
-        for b in old:
-            self.store.files.delete(b.path)
+        self._commit(m, [b.path for b in old], m.swap(old, [block]), before_delete, next_block=m.next_block + 1)
         return Compaction(True, len(old), sum(b.row_count for b in old), block.row_count)
 
-    def vacuum(self) -> list[str]:
-        """Deletes files that no manifest names, as a crash leaves them; only while no writer is at work."""
+    def consolidate(self, rows_per_block: int = 1_000_000, distinct: bool = False) -> Consolidated:
+        """Puts the small L0 blocks into few blocks of about ``rows_per_block`` points and retires them in one commit.
+
+        Blocks are bin-packed by their row counts, first fit in decreasing order; blocks that fill more than half a bin by
+        themselves stay. All bins are written by one job and read back; if the rows or the checksum of one differ from its
+        sources', nothing is committed. Queries give the same rows as before; with ``distinct``, points that these blocks
+        hold several times are kept once. A new block is as old as the youngest block in it.
+        """
+        if rows_per_block <= 0:
+            raise ValueError("rows_per_block must be positive")
         m = self.manifest
-        live = {p.rsplit("/", 1)[-1] for p in [*(b.path for b in m.blocks), *m.staged, *m.series_files]}
+        old = [b for b in m.level(0) if 2 * b.row_count <= rows_per_block]
+        bins = first_fit_decreasing(np.array([b.row_count for b in old], dtype=np.int64), rows_per_block)
+        several = {int(k) for k, n in zip(*np.unique(bins, return_counts=True), strict=True) if n > 1}
+        chosen = [(b, int(k)) for b, k in zip(old, bins, strict=True) if int(k) in several]
+        if not chosen:
+            return Consolidated(False)
+        number = {k: m.next_block + i for i, k in enumerate(sorted(several))}
+        # The last folder of a file's path is its block.
+        plan = self.spark.createDataFrame([(b.path.rsplit("/", 1)[-1], number[k]) for b, k in chosen], "folder string, block_id long")
+        rows = self._read([b for b, _ in chosen], 0).withColumn("folder", F.element_at(F.split(F.input_file_name(), "/"), -2))
+        rows = rows.join(F.broadcast(plan), "folder").drop("folder")  # an entry for each block of the manifest, which the driver holds
+        if distinct:
+            rows = rows.groupBy("series_id", "ts_ms", "value").agg(F.min("block_id").alias("block_id"))
+        aside, tag = f"{self.root}/L0/_aside-{uuid.uuid4().hex[:8]}", uuid.uuid4().hex[:8]
+        rows.repartition(len(number), "block_id").sortWithinPartitions("block_id", "series_id", "ts_ms").write.partitionBy("block_id").option("compression", "zstd").parquet(aside)
+        found = self._contents(rows)
+        written = self._contents(self.spark.read.schema("series_id long, ts_ms long, value double, block_id long").parquet(aside))
+        self.failpoint("post_consolidate_write_pre_manifest")
+        if {k: v[:2] for k, v in found.items()} != {k: v[:2] for k, v in written.items()}:
+            self.store.files.delete(aside)
+            raise VerificationError("the consolidated blocks differ from their sources")
+        new = []
+        for k, (n, _, series, lo, hi) in sorted(written.items()):
+            path = f"{self.root}/L0/{k:08d}-{tag}"
+            self.store.files.rename(f"{aside}/block_id={k}", path)
+            age = max(b.created_at for b, j in chosen if number[j] == k)
+            new.append(Block(0, k, path, series, n, self.store.files.size(path), lo, hi, age))
+        self.store.files.delete(aside)
+        sources = [b for b, _ in chosen]
+        self._commit(m, [b.path for b in sources], m.swap(sources, new), "post_consolidate_manifest_pre_retire", next_block=m.next_block + len(number))
+        return Consolidated(True, len(sources), len(new), sum(b.row_count for b in new))
+
+    @staticmethod
+    def _contents(rows: DataFrame) -> dict[int, tuple[int, int, int, int, int]]:
+        """Rows, checksum, series and times of each block; a line for each block to be written."""
+        h = point_hash(F.col("series_id"), F.col("ts_ms"), F.col("value")).bitwiseAND(0xFFFFFFFF)
+        per = rows.groupBy("block_id").agg(F.count(F.lit(1)), F.sum(h), F.countDistinct("series_id"), F.min("ts_ms"), F.max("ts_ms"))
+        return {r[0]: tuple(r)[1:] for r in per.collect()}
+
+    def vacuum(self, older_than_s: int | None = None) -> list[str]:
+        """Deletes what was retired that long ago (``grace_s`` if not given), files of that age that no manifest names, as
+        a crash leaves them, and old manifest versions. Returns the files, ``folder/name``."""
+        grace = 1000 * (self.grace_s if older_than_s is None else older_than_s)
+        m, now = self.manifest, self.clock()
+        due = {p for p, at in m.retired if now - at >= grace}
+        named = {p.rsplit("/", 1)[-1] for p in [*(b.path for b in m.blocks), *m.staged, *m.series_files, *(p for p, _ in m.retired if p not in due)]}
+        files, wall = self.store.files, int(time.time() * 1000)
+        due = {p.rsplit("/", 1)[-1] for p in due}
         gone = []
-        for folder in ("L0", "L1", "L2", "L3", "staging", "series"):
-            for name in self.store.files.names(f"{self.root}/{folder}"):
-                if name not in live:
-                    self.store.files.delete(f"{self.root}/{folder}/{name}")
+        for folder in FOLDERS:
+            for name in files.names(f"{self.root}/{folder}"):
+                path = f"{self.root}/{folder}/{name}"
+                if name in due or name not in named and wall - files.written_at(path) >= grace:
+                    files.delete(path)
                     gone.append(f"{folder}/{name}")
+        left = tuple((p, at) for p, at in m.retired if p.rsplit("/", 1)[-1] not in due)
+        if left != m.retired:
+            self.store.commit(replace(m, retired=left))
+        self.store.trim(wall - grace)
         return gone
 
     def bootstrap(self) -> Manifest:
-        """Adopts the blocks on disk where no manifest exists; with a manifest, removes what it doesn't name."""
+        """Adopts what is on disk where no manifest exists; with a manifest, cleans up what it doesn't name.
+
+        Blocks, staged batches and the dictionary are adopted, but for what is marked as retired. Of batches and of
+        dictionary files that were written on the same version only the last was accepted. New ids go on after the
+        highest in use, in the dictionary, the blocks or the batches. Names of accepted batches are lost with the manifest.
+        """
         m = self.manifest
         if m.version:
+            for p, _ in m.retired:  # a crash may have come between the commit and its marks
+                if self.store.files.exists(p) and not self.store.files.exists(f"{p}/{RETIRED}"):
+                    self.store.files.touch(f"{p}/{RETIRED}")
             self.vacuum()
-            return m
-        found = []
+            return self.manifest
+        found, highest = [], 0
         for level in range(4):
             ts, schema = ("ts_ms", POINTS) if level == 0 else ("bucket_start", ROLLUP)
-            for name in self.store.files.names(f"{self.root}/L{level}"):
-                path = f"{self.root}/L{level}/{name}"
-                s = block_ops.summarise(self.spark.read.schema(schema).parquet(path).withColumn("block_id", F.lit(0)), ["block_id"], ts).first()
+            for path in self._on_disk(f"L{level}"):
+                rows = self.spark.read.schema(schema).parquet(path).withColumn("block_id", F.lit(0))
+                s = block_ops.summarise(rows, ["block_id"], ts).first()
                 if s:
-                    found.append(Block(level, int(name.split("-")[0]), path, s["series_count"], s["row_count"], self.store.files.size(path), s["min_ts"], s["max_ts"], self.clock()))
-        if not found:
+                    block_id = int(path.rsplit("/", 1)[-1].split("-")[0])
+                    found.append(Block(level, block_id, path, s["series_count"], s["row_count"], self.store.files.size(path), s["min_ts"], s["max_ts"], self.clock()))
+                    highest = max(highest, rows.agg(F.max("series_id")).first()[0] or 0)
+        series, staged = self._last_of_version("series"), self._last_of_version("staging")
+        for paths, schema in ((series, SERIES), (staged, STAGED)):
+            if paths:
+                highest = max(highest, self.spark.read.schema(schema).parquet(*paths).agg(F.max("series_id")).first()[0] or 0)
+        if not (found or series or staged):
             return m
-        return self.store.commit(replace(m, blocks=tuple(found), next_block=max(b.block_id for b in found) + 1))
+        blocks = max((b.block_id for b in found), default=0) + 1
+        return self.store.commit(replace(m, blocks=tuple(found), next_block=blocks, next_series=highest + 1, series_files=tuple(series), staged=tuple(staged)))
+
+    def _on_disk(self, folder: str) -> list[str]:
+        """Folders written completely and not retired."""
+        files = self.store.files
+        paths = [f"{self.root}/{folder}/{n}" for n in files.names(f"{self.root}/{folder}") if not n.startswith("_")]
+        return [p for p in paths if not files.exists(f"{p}/{RETIRED}") and files.size(p)]
+
+    def _last_of_version(self, folder: str) -> list[str]:
+        last: dict[str, str] = {}
+        for path in sorted(self._on_disk(folder), key=self.store.files.written_at):
+            last[path.rsplit("/", 1)[-1].split("-")[0]] = path
+        return sorted(last.values())
 
     # ---- queries
 

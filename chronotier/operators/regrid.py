@@ -51,8 +51,8 @@ def _end_slope(h0: Column, h1: Column, d0: Column, d1: Column) -> Column:
 def regrid(points: DataFrame, series: DataFrame, max_fill_ms: int = 6 * 3_600_000, max_gap_ms: int = MAX_GAP_MS) -> DataFrame:
     """``series_id, slot_ms, value, status`` for each slot from the first to the last reading of each segment.
 
-    ``observed`` slots have the latest reading in them. A slot without a reading is ``filled`` by interpolation at its
-    start if the silence around it is at most ``max_fill_ms``, else ``missing`` with a null value. A silence of more
+    ``observed`` slots have the latest reading in them, as it was sent and whenever in the slot that was; the curve runs
+    through these readings at their own times. A slot without a reading is ``filled`` with the curve's value at its start if the silence around it is at most ``max_fill_ms``, else ``missing`` with a null value. A silence of more
     than ``max_gap_ms`` ends the segment: its slots don't come out.
     """
     width = F.col("step_ms") * SHARD

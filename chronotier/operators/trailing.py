@@ -20,10 +20,10 @@ TILE, SHARD = 64, 512
 #: A silence of so many days or more ends a series for then.
 END_OF_SERIES = 20
 
-SCHEMA = (
-    "series_id long, day long, day_utc string, active boolean, count_7 long, avg_7 double, active_days_7 long, "
-    "count_30 long, avg_30 double, active_days_30 long, silence_days int"
-)
+
+def schema(windows: tuple[int, ...]) -> str:
+    each = [f"count_{w} long, avg_{w} double, active_days_{w} long" for w in windows]
+    return ", ".join(["series_id long, day long, day_utc string, active boolean", *each, "silence_days int"])
 
 
 def daily(buckets: DataFrame) -> DataFrame:
@@ -59,16 +59,17 @@ def silence_lengths(active: np.ndarray, cap: int) -> np.ndarray:
     return np.where(active, 0, np.minimum(after - before - 1, cap))
 
 
-def trailing(buckets: DataFrame, windows: tuple[int, int] = (7, 30)) -> DataFrame:
+def trailing(buckets: DataFrame, windows: tuple[int, ...] = (7, 30)) -> DataFrame:
     """Each day from the first to the last with a bucket, for each series: sums of ``count``, means of ``avg`` weighted
-    by ``count``, and days with activity over both windows, which end with that day.
+    by ``count``, and days with activity over each window, which ends with that day: ``count_7, avg_7, active_days_7, ...``.
 
     ``silence_days`` is the length of the inactive run that holds the day: 0 on an active day, 20 also for longer runs
     and for those before the first or after the last activity. A window without weight has a null mean. An empty table
     gives no rows. Stages the daily sums, which are far fewer than the buckets.
     """
-    short, long = windows
-    before, after = max(long - 1, END_OF_SERIES), END_OF_SERIES
+    if not windows or min(windows) < 1 or len(set(windows)) < len(windows):
+        raise ValueError("windows must be different numbers of days")
+    before, after = max(max(windows) - 1, END_OF_SERIES), END_OF_SERIES
     days = stage(daily(buckets), "daily")
     shards = max(1, -(-days.agg(F.approx_count_distinct("series_id")).first()[0] // SHARD))
     tile = F.floor(F.col("day") / TILE).cast("long")
@@ -84,7 +85,7 @@ def trailing(buckets: DataFrame, windows: tuple[int, int] = (7, 30)) -> DataFram
         "series_id", F.explode(F.sequence(edge("first"), edge("last"))).alias("tile"), null.cast("long").alias("day"), null.cast("long").alias("n"),
         null.cast("double").alias("total"), null.cast("long").alias("weight"), "first", "last",
     )
-    ops = [banded(w, before, TILE, after) for w in (short, long)]
+    ops = [(w, banded(w, before, TILE, after)) for w in windows]
 
     def block(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         start = int(key[1]) * TILE
@@ -103,7 +104,7 @@ def trailing(buckets: DataFrame, windows: tuple[int, int] = (7, 30)) -> DataFram
         inside = (day >= head["first"].to_numpy()[:, None]) & (day <= head["last"].to_numpy()[:, None])
         r, c = np.nonzero(inside)
         out = {"series_id": ids[r], "day": day[c], "day_utc": day[c].astype("datetime64[D]").astype(str), "active": active[r, c + before]}
-        for name, op in zip(("7", "30"), ops, strict=True):
+        for name, op in ops:
             w, t = (weight @ op)[r, c], (total @ op)[r, c]
             out[f"count_{name}"] = (n @ op)[r, c]
             out[f"avg_{name}"] = np.where(w > 0, t / np.maximum(w, 1), np.nan)
@@ -112,8 +113,8 @@ def trailing(buckets: DataFrame, windows: tuple[int, int] = (7, 30)) -> DataFram
         return pd.DataFrame(out)
 
     shard = F.pmod(F.xxhash64("series_id"), F.lit(shards)).alias("shard")
-    out = halo.unionByName(spine).withColumn("shard", shard).groupBy("shard", "tile").applyInPandas(block, SCHEMA)
-    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("avg_7", "avg_30")})
+    out = halo.unionByName(spine).withColumn("shard", shard).groupBy("shard", "tile").applyInPandas(block, schema(windows))
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in (f"avg_{w}" for w in windows)})
 
 
 def silent_weeks(totals: DataFrame) -> DataFrame:

@@ -216,11 +216,20 @@ def matched_series_outer(spark, d):
     return router.with_all_matched(_stitched(spark, d), _ids(spark, d))
 
 
-@query(_STITCH + """ SELECT ids.series_id, count(*) FILTER (level = 0) AS raw, count(*) FILTER (level = 1) AS l1, count(*) FILTER (level = 2) AS l2,
-  count(*) FILTER (level = 3) AS l3 FROM ids LEFT JOIN hit USING (series_id) GROUP BY 1""")
+@query(_STITCH + """ SELECT series_id, level, CAST(row_number() OVER (PARTITION BY series_id, level ORDER BY ts_ms, value NULLS FIRST, count NULLS FIRST,
+  min NULLS FIRST, max NULLS FIRST, avg NULLS FIRST, p99 NULLS FIRST) - 1 AS INTEGER) AS pos, ts_ms, value, count, min, max, avg, p99 FROM hit
+  UNION ALL SELECT series_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM ids""")
 def nested_result(spark, d):
+    """The nested form taken apart again: every element of every array with its place, and a row for each series."""
     n = router.nested(_stitched(spark, d), _ids(spark, d))
-    return n.select("series_id", *[F.size(c).cast("long").alias(c) for c in ("raw", "l1", "l2", "l3")])
+    null = F.lit(None)
+    out = n.select("series_id", *[null.cast(k).alias(c) for c, k in (("level", "int"), ("pos", "int"), ("ts_ms", "long"), ("value", "double"), ("count", "long"))], *[null.cast("double").alias(c) for c in ("min", "max", "avg", "p99")])
+    raw = n.select("series_id", F.posexplode("raw").alias("pos", "e")).select("series_id", F.lit(0).alias("level"), "pos", "e.ts_ms", "e.value", null.cast("long").alias("count"), *[null.cast("double").alias(c) for c in ("min", "max", "avg", "p99")])
+    out = out.unionByName(raw)
+    for k in (1, 2, 3):
+        e = n.select("series_id", F.posexplode(f"l{k}").alias("pos", "e"))
+        out = out.unionByName(e.select("series_id", F.lit(k).alias("level"), "pos", F.col("e.bucket_start").alias("ts_ms"), null.cast("double").alias("value"), "e.count", "e.min", "e.max", "e.avg", "e.p99"))
+    return out
 
 
 def _stats_sql(start: int, end: int) -> str:
@@ -312,10 +321,10 @@ def merge_buckets_day(spark, d):
     return _rounded(_nudged(rollup.merge_rollups(r, DAY), "avg", "p99"), "avg", "p99")
 
 
-@query("WITH r AS (SELECT DISTINCT * FROM rollup_buckets WHERE level = 1), c AS (" + _merge("r", 1, "series_id") + ") " + _NUDGED.format(by="series_id", t="c"))
+@query("WITH r AS (SELECT DISTINCT * FROM rollup_buckets), c AS (" + _merge("r", 1, "series_id, level").replace("GROUP BY 1, 2", "GROUP BY 1, 2, 3") + ") " + _NUDGED.format(by="series_id, level", t="c"))
 def consolidate_buckets(spark, d):
-    r = table(spark, d, "rollup_buckets").where("level = 1").distinct()
-    return _rounded(_nudged(rollup.consolidate(r), "avg", "p99"), "avg", "p99")
+    """Buckets of two compaction runs, and late ones, as one row, at every level."""
+    return _rounded(_nudged(rollup.consolidate(table(spark, d, "rollup_buckets").distinct(), ("series_id", "level")), "avg", "p99"), "avg", "p99")
 
 
 @query(f"""WITH e AS (SELECT event_id, epoch_us(ts) // 1000 - 1704067200000 - event_id * 977 AS t FROM events)
@@ -376,6 +385,12 @@ def manifest_live(spark, d):
     return blocks.live_blocks(table(spark, d, "manifest"))
 
 
+@query(r"SELECT level, filename FROM manifest WHERE level IS NULL OR filename IS NULL OR NOT regexp_matches(lower(trim(filename)), '\d\.blk$')")
+def manifest_unreadable(spark, d):
+    """Lines that name no block; what they meant is not taken for live."""
+    return blocks.unreadable_lines(table(spark, d, "manifest")).select("level", "filename")
+
+
 @query(f"WITH live AS ({_LIVE}) SELECT level, block_id FROM live ANTI JOIN (SELECT level, block_id FROM blocks) USING (level, block_id)")
 def manifest_missing_files(spark, d):
     b = table(spark, d, "blocks").select("level", "block_id")
@@ -433,17 +448,21 @@ def compaction_l0_l1(spark, d):
 
 # ---- codec
 
-_BITS = PTS + """, o AS (SELECT labels, ts_ms, value, row_number() OVER w AS n, ts_ms - lag(ts_ms) OVER w AS delta,
-  xor(value::DOUBLE::BIT, lag(value) OVER w ::DOUBLE::BIT)::VARCHAR AS x FROM pts WINDOW w AS (PARTITION BY labels ORDER BY ts_ms, value)),
-  p AS (SELECT *, delta - coalesce(lag(delta) OVER (PARTITION BY labels ORDER BY ts_ms, value), 0) AS dod,
+def _bits(points: str, by: str) -> str:
+    return f"""{points}, o AS (SELECT {by}, ts_ms, value, row_number() OVER w AS n, ts_ms - lag(ts_ms) OVER w AS delta,
+  xor(value::DOUBLE::BIT, lag(value) OVER w ::DOUBLE::BIT)::VARCHAR AS x FROM pts WINDOW w AS (PARTITION BY {by} ORDER BY ts_ms, value)),
+  p AS (SELECT *, delta - coalesce(lag(delta) OVER (PARTITION BY {by} ORDER BY n), 0) AS dod,
   least(position('1' IN x) - 1, 31) AS lead, length(x) - length(rtrim(x, '0')) AS trail, x LIKE '%1%' AS changed FROM o),
   q AS (SELECT *, CASE WHEN changed THEN lead || ':' || (64 - lead - trail) END AS win FROM p),
-  r AS (SELECT *, last_value(win IGNORE NULLS) OVER (PARTITION BY labels ORDER BY ts_ms, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM q),
-  sized AS (SELECT labels, ts_ms, value, dod, CASE WHEN n = 1 THEN 64 WHEN dod = 0 THEN 1 WHEN dod BETWEEN -63 AND 64 THEN 9
+  r AS (SELECT *, last_value(win IGNORE NULLS) OVER (PARTITION BY {by} ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM q),
+  sized AS (SELECT {by}, ts_ms, value, dod, CASE WHEN n = 1 THEN 64 WHEN dod = 0 THEN 1 WHEN dod BETWEEN -63 AND 64 THEN 9
   WHEN dod BETWEEN -255 AND 256 THEN 12 WHEN dod BETWEEN -2047 AND 2048 THEN 16 ELSE 36 END AS ts_bits,
   CASE WHEN n = 1 THEN 64 WHEN NOT changed THEN 1 WHEN win = before THEN 2 + 64 - lead - trail ELSE 13 + 64 - lead - trail END AS value_bits FROM r)"""
 
 
+_BITS = _bits(PTS, "labels")
+
+
 @query(_BITS + " SELECT labels, ts_ms, dod, ts_bits FROM sized")
 def codec_dod_bits(spark, d):
     return codec.point_sizes(model.event_points(spark, d), ["labels"]).select("labels", "ts_ms", "dod", "ts_bits")
@@ -473,12 +492,49 @@ def codec_round_trip(spark, d):
     return codec.decode_points(codec.encode_points(model.event_points(spark, d), ["labels"]), ["labels"])
 
 
+_DAYS = f"WITH pts AS (SELECT series_id, {FLOOR.format(t='ts_ms', w=DAY)} AS day_start, ts_ms, value FROM points WHERE value IS NOT NULL AND ts_ms IS NOT NULL)"
+
+
+def _day_points(spark, d):
+    return codec.by_time(table(spark, d, "points").where("ts_ms IS NOT NULL"), DAY, "day_start")
+
+
+@query(_bits(_DAYS, "series_id, day_start") + """ SELECT series_id, day_start, count(*) AS points, CAST(ceil(sum(ts_bits + value_bits) / 8.0) AS BIGINT) AS bytes
+  FROM sized GROUP BY 1, 2""")
+def codec_points_encode(spark, d):
+    """Real streams of the readings, cut by day so that a long series is no one task's, have the modelled size."""
+    s = codec.encode_points(_day_points(spark, d), ["series_id", "day_start"])
+    return s.select("series_id", "day_start", "points", F.octet_length("data").cast("long").alias("bytes"))
+
+
+@query(_DAYS + " SELECT series_id, day_start, ts_ms, value FROM pts")
+def codec_points_round_trip(spark, d):
+    by = ["series_id", "day_start"]
+    return codec.decode_points(codec.encode_points(_day_points(spark, d), by), by)
+
+
+@query("SELECT series_id, level, bucket_start, count, min, max, avg, p99 FROM rollup_buckets WHERE bucket_start IS NOT NULL AND count IS NOT NULL")
+def codec_rollup_round_trip(spark, d):
+    """Rollup streams written and read, a stream for each series, level and 30 days."""
+    by = ["series_id", "level", "month_start"]
+    cut = codec.by_time(table(spark, d, "rollup_buckets").where("bucket_start IS NOT NULL"), MONTH, "month_start", "bucket_start")
+    return codec.decode_rollup_streams(codec.encode_rollups(cut, by), by).drop("month_start")
+
+
 @query(None)
 def codec_crc32(spark, d):
     s = codec.encode_points(model.event_points(spark, d), ["labels"])
     return s.select("labels", F.crc32("data").alias("crc"))
 
 
+@query("SELECT * FROM (VALUES ('123456789', 3421780262::BIGINT), ('', 0), ('stream', 3213292777)) t(text, crc)")
+def codec_crc32_known(spark, d):
+    """Checksums of a string whose checksum is published, of nothing, and of the stream of two points: fixed values."""
+    two = spark.createDataFrame([(1, 1000, 1.0), (1, 2000, 1.0)], "k int, ts_ms long, value double")
+    known = spark.createDataFrame([("123456789",), ("",)], "text string").select("text", F.crc32(F.col("text").cast("binary")).alias("crc"))
+    return known.unionByName(codec.encode_points(two, ["k"]).select(F.lit("stream").alias("text"), F.crc32("data").alias("crc")))
+
+
 @query("SELECT 0 AS k, 100000 AS points, 3.74::DOUBLE AS bytes_per_point, 4.28::DOUBLE AS ratio UNION ALL SELECT 1, 8000, 7.11, 2.25")
 def codec_published(spark, d):
     """The two published workloads: bytes a point and ratio, as published."""
@@ -493,12 +549,12 @@ def codec_published(spark, d):
 
 
 @query("""WITH o AS (SELECT series_id, level, bucket_start AS t, row_number() OVER w AS n, bucket_start - lag(bucket_start) OVER w AS delta
-  FROM rollup_buckets WHERE level = 1 WINDOW w AS (PARTITION BY series_id, level ORDER BY bucket_start)),
+  FROM rollup_buckets WINDOW w AS (PARTITION BY series_id, level ORDER BY bucket_start)),
   p AS (SELECT *, delta - coalesce(lag(delta) OVER (PARTITION BY series_id, level ORDER BY n), 0) AS dod FROM o)
   SELECT series_id, level, count(*) AS buckets, CAST(ceil(sum(288 + CASE WHEN n = 1 THEN 64 WHEN dod = 0 THEN 1 WHEN dod BETWEEN -63 AND 64 THEN 9
   WHEN dod BETWEEN -255 AND 256 THEN 12 WHEN dod BETWEEN -2047 AND 2048 THEN 16 ELSE 36 END) / 8.0) AS BIGINT) AS bytes FROM p GROUP BY 1, 2""")
 def codec_rollup_sizes(spark, d):
-    return codec.rollup_sizes(table(spark, d, "rollup_buckets").where("level = 1"), ["series_id", "level"])
+    return codec.rollup_sizes(table(spark, d, "rollup_buckets"), ["series_id", "level"])
 
 
 # ---- the storage engine and streams, end to end
@@ -524,6 +580,48 @@ def engine_cascade(spark, d):
     return _rounded(e.scan(3).join(e.series(), "series_id").select("labels", "bucket_start", "count", "min", "max", "avg", "p99"), "avg", "p99")
 
 
+# Two moments within the events: what is older than the first is compacted, what is younger than the second is not flushed.
+AGED, FRESH = 1_704_499_200_000, 1_705_104_000_000
+
+
+def _aged_engine(spark, d):
+    e = Engine(spark, new_path(spark, "engine"), flush_threshold=1 << 40)
+    points = model.event_points(spark, d)
+    t = F.col("ts_ms")
+    e.write(points.where(t < AGED))
+    e.flush()
+    e.compact(HOUR)
+    e.write(points.where((t >= AGED) & (t < FRESH)))
+    e.flush()
+    e.write(points.where(t >= FRESH))
+    return e
+
+
+@query(PTS + ", mine AS (SELECT * FROM pts WHERE starts_with(labels, 'event_type=click,')), l1 AS (" + _l1(f"(SELECT * FROM mine WHERE ts_ms < {AGED})", HOUR) + f""")
+  SELECT labels, 0 AS level, ts_ms, value, NULL::BIGINT AS count, NULL::DOUBLE AS min, NULL::DOUBLE AS max, NULL::DOUBLE AS avg, NULL::DOUBLE AS p99 FROM mine
+  WHERE ts_ms >= {AGED} AND ts_ms < {FRESH + 5 * DAY} UNION ALL SELECT labels, 1, bucket_start, NULL, count, min, max, round(avg, 6), round(p99, 6) FROM l1
+  WHERE bucket_start >= {AGED - 3 * DAY}""")
+def engine_routed_query(spark, d):
+    """Matchers and a time range through the engine: buckets of what is aged, points of what is flushed or only staged."""
+    e = _aged_engine(spark, d)
+    r = e.query(["event_type=click"], AGED - 3 * DAY, FRESH + 5 * DAY).join(e.series(), "series_id")
+    return _rounded(r.select("labels", "level", "ts_ms", "value", "count", "min", "max", "avg", "p99"), "avg", "p99")
+
+
+@query(PTS + " SELECT labels, ts_ms, value FROM pts")
+def engine_consolidate(spark, d):
+    """Points flushed to small blocks, which are then put together: the same points from fewer blocks."""
+    e = Engine(spark, new_path(spark, "engine"), flush_threshold=1 << 40)
+    points, t = model.event_points(spark, d), F.col("ts_ms")
+    for part in (t < AGED, (t >= AGED) & (t < FRESH), t >= FRESH):
+        e.write(points.where(part))
+        e.flush()
+    done = e.consolidate()
+    if (done.source_blocks, len(e.manifest.level(0))) != (3, 1):
+        raise RuntimeError(f"three blocks became {len(e.manifest.level(0))}")
+    return e.scan(0).join(e.series(), "series_id").select("labels", "ts_ms", "value")
+
+
 @query(PTS + " SELECT labels, ts_ms, value FROM pts")
 def stream_ingest(spark, d):
     """Points that arrive as a stream, read back from the engine."""

@@ -69,9 +69,31 @@ def p5_slots(spark, d):
     return g.withColumn("value", F.when(F.col("status") == "observed", F.col("value")))
 
 
-@query()
+# The slope at a knot is the harmonic mean of both secants weighted by the intervals, 0 at a turn; at the end of a segment it
+# is that of the parabola through three knots, kept within what is monotone.
+_INNER = "CASE WHEN {a} * {b} <= 0 THEN 0 ELSE (3 * {h} + 3 * {g}) / ((2 * {g} + {h}) / {a} + ({g} + 2 * {h}) / {b}) END"
+_END = """CASE WHEN {b} IS NULL THEN {a} WHEN ((2 * {h} + {g}) * {a} - {h} * {b}) / ({h} + {g}) * {a} <= 0 THEN 0
+  WHEN {a} * {b} <= 0 AND abs(((2 * {h} + {g}) * {a} - {h} * {b}) / ({h} + {g})) > abs(3 * {a}) THEN 3 * {a} ELSE ((2 * {h} + {g}) * {a} - {h} * {b}) / ({h} + {g}) END"""
+_S0 = "CASE WHEN dm IS NULL THEN " + _END.format(a="d", b="dp", h="h", g="hp") + " ELSE " + _INNER.format(a="dm", b="d", h="h", g="hm") + " END"
+_S1 = "CASE WHEN dp IS NULL THEN " + _END.format(a="d", b="dm", h="h", g="hm") + " ELSE " + _INNER.format(a="d", b="dp", h="hp", g="h") + " END"
+
+
+@query("""WITH k AS (SELECT series_id, step_ms, ts_ms - ts_ms % step_ms AS slot, min(ts_ms) AS first_ts, max(ts_ms) AS ts, arg_max(value, (ts_ms, seq, value)) AS y
+  FROM points JOIN series USING (series_id) WHERE isfinite(value) GROUP BY 1, 2, 3),
+  w AS (SELECT *, lead(slot) OVER o AS slot1, lead(first_ts) OVER o AS first1, lead(ts) OVER o AS ts1, lead(y) OVER o AS y1, lead(first_ts, 2) OVER o AS first2,
+  lead(ts, 2) OVER o AS ts2, lead(y, 2) OVER o AS y2, lag(ts) OVER o AS ts0, lag(y) OVER o AS y0 FROM k WINDOW o AS (PARTITION BY series_id ORDER BY slot)),
+  i AS (SELECT *, first1 - ts AS gap, (ts1 - ts)::DOUBLE AS h, (y1 - y) / (ts1 - ts)::DOUBLE AS d,
+  CASE WHEN first_ts - ts0 <= 259200000 THEN (ts - ts0)::DOUBLE END AS hm, CASE WHEN first_ts - ts0 <= 259200000 THEN (y - y0) / (ts - ts0)::DOUBLE END AS dm,
+  CASE WHEN first2 - ts1 <= 259200000 THEN (ts2 - ts1)::DOUBLE END AS hp, CASE WHEN first2 - ts1 <= 259200000 THEN (y2 - y1) / (ts2 - ts1)::DOUBLE END AS dp FROM w),
+  m AS (SELECT *, """ + _S0 + " AS s0, " + _S1 + """ AS s1 FROM i WHERE gap <= 259200000),
+  f AS (SELECT *, unnest(range(slot + step_ms, slot1, step_ms)) AS place FROM m), x AS (SELECT *, (place - ts) / h AS x FROM f)
+  SELECT series_id, slot AS slot_ms, round(y + 1e-9, 6) AS value, 'observed' AS status FROM k UNION ALL
+  SELECT series_id, place, CASE WHEN gap <= 21600000 THEN round(greatest(least(y, y1), least(greatest(y, y1), (2 * x * x * x - 3 * x * x + 1) * y + (x * x * x - 2 * x * x + x) * h * s0
+  + (3 * x * x - 2 * x * x * x) * y1 + (x * x * x - x * x) * h * s1)) + 1e-9, 6) END, CASE WHEN gap <= 21600000 THEN 'filled' ELSE 'missing' END FROM x""")
 def p5_regular(spark, d):
-    return grid_ops.regrid(table(spark, d, "points"), table(spark, d, "series"))
+    """The whole grid: observed values, those of the monotone cubic, and missing slots."""
+    g = grid_ops.regrid(table(spark, d, "points"), table(spark, d, "series"))
+    return g.withColumn("value", F.round(F.col("value") + 1e-9, 6))
 
 
 @query(_SLOTS + """ SELECT series_id, unnest(range(slot + step_ms, next_slot, step_ms)) AS slot_ms FROM n WHERE next_ts - ts_ms <= 259200000""")

@@ -42,6 +42,7 @@ class Manifest:
     series_files: tuple[str, ...] = ()
     staged: tuple[str, ...] = ()
     batches: tuple[str, ...] = field(default=())
+    retired: tuple[tuple[str, int], ...] = ()  # what left the lists above, and when: path, unix milliseconds
 
     def level(self, n: int) -> list[Block]:
         return [b for b in self.blocks if b.level == n]
@@ -55,7 +56,8 @@ class Manifest:
         blocks = tuple(Block(**b) for b in raw.pop("blocks"))
         if bad := sorted({b.level for b in blocks} - set(LEVELS)):
             raise ValueError(f"manifest lists unknown level(s) {bad}")
-        return Manifest(blocks=blocks, **{k: tuple(v) if isinstance(v, list) else v for k, v in raw.items()})
+        retired = tuple((path, at) for path, at in raw.pop("retired", ()))
+        return Manifest(blocks=blocks, retired=retired, **{k: tuple(v) if isinstance(v, list) else v for k, v in raw.items()})
 
     def swap(self, remove: list[Block], add: list[Block], **other) -> Manifest:
         gone = {(b.level, b.block_id) for b in remove}
@@ -81,6 +83,15 @@ class Files:
         p = self._path(folder)
         return sorted(s.getPath().getName() for s in self.fs.listStatus(p)) if self.fs.exists(p) else []
 
+    def written_at(self, p: str) -> int:
+        return self.fs.getFileStatus(self._path(p)).getModificationTime()
+
+    def exists(self, p: str) -> bool:
+        return self.fs.exists(self._path(p))
+
+    def touch(self, p: str) -> None:
+        self.fs.create(self._path(p), True).close()
+
     def size(self, folder: str) -> int:
         return sum(s.getLen() for s in self.fs.listStatus(self._path(folder)) if s.getPath().getName().endswith(".parquet"))
 
@@ -121,6 +132,15 @@ class ManifestStore:
                 continue
         return Manifest()
 
+    def trim(self, older_than_ms: int) -> list[str]:
+        """Deletes versions written before that time, save the one in force and those after it; they are of no use to
+        readers, which hold files and not versions."""
+        now = self.load().version
+        gone = [n for n in self.files.names(self.folder) if n.endswith(".json") and int(n.split(".")[0]) < now and self.files.written_at(f"{self.folder}/{n}") < older_than_ms]
+        for n in gone:
+            self.files.delete(f"{self.folder}/{n}")
+        return gone
+
     def commit(self, m: Manifest) -> Manifest:
         """Writes ``m`` as the version after the one it was made from."""
         taken = [int(n.split(".")[0]) for n in self.files.names(self.folder) if n.endswith(".json")]

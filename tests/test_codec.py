@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from chronotier.operators import codec
 from chronotier.sources import generators
@@ -71,3 +72,39 @@ def test_spark_round_trip_with_nulls(spark, rows):
     df = spark.createDataFrame([(1, 5, 1.5), (1, 5, 1.5), (1, 9, None), (1, None, 2.0), (None, 7, 2.5)], "series_id long, ts_ms long, value double")
     out = codec.decode_points(codec.encode_points(df, ["series_id"]), ["series_id"])
     assert [r[1:] for r in rows(out)] == [(5, 1.5), (5, 1.5), (7, 2.5)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(-(2**52), 2**52), st.floats(width=64)), min_size=1, max_size=12), min_size=1, max_size=6))
+def test_streams_are_decoded_together(many):
+    made = [codec.encode(np.array([p[0] for p in x]), np.array([p[1] for p in x])) for x in (sorted(x, key=lambda p: p[0]) for x in many)]
+    n = np.array([len(x) for x in many])
+    ts, values = codec.decode_many([d for d, _ in made], n, np.array([w for _, w in made]))
+    one = [codec.decode(d, k, w) for (d, w), k in zip(made, n)]
+    assert (ts == np.concatenate([t for t, _ in one])).all()
+    assert (values.view(np.uint64) == np.concatenate([v for _, v in one]).view(np.uint64)).all()
+
+
+def test_rollup_streams_come_back(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, 0, 5, 1.0, 2.0, 1.5, 2.0), (1, 3_600_000, 0, None, None, None, None), (1, 7_200_000, 2**32 - 1, -0.0, inf, nan, None), (1, 7_200_000, 1, 0.1, 0.2, 0.3, 0.4),
+            (2, -5_000_000_000_000, 7, 1.0, 1.0, 1.0, 1.0), (2, 9_000_000_000_000, 7, 1.0, 1.0, 1.0, 1.0), (None, 4, 1, 1.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame([*rows, (3, None, 1, 1.0, 1.0, 1.0, 1.0), (3, 5, None, 1.0, 1.0, 1.0, 1.0)], "series_id long, bucket_start long, count long, min double, max double, avg double, p99 double")
+    streams = codec.encode_rollups(df, ["series_id"])
+    back = codec.decode_rollup_streams(streams, ["series_id"])
+    assert sorted(map(repr, map(tuple, back.collect()))) == sorted(map(repr, rows))
+    sizes = {r["series_id"]: (r["buckets"], r["bytes"]) for r in codec.rollup_sizes(df.where("series_id = 1"), ["series_id"]).collect()}
+    real = {r["series_id"]: (r["points"], len(r["data"])) for r in streams.where("series_id = 1").collect()}
+    assert sizes == real
+    with pytest.raises(ValueError):
+        codec.encode_rollup(np.array([1]), np.array([2**32]), np.zeros((1, 4)), np.zeros((1, 4), bool))
+    with pytest.raises(ValueError):
+        codec.decode_rollups([b"short"], np.array([1]), np.array([False]))
+
+
+def test_raw_bits(spark):
+    values = [0.0, -0.0, 1.0, -1.0, 0.1, -123.456, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, float("inf"), float("-inf"), float("nan"), None, 1023.9999999999999]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", codec.raw_bits(F.col("v")).alias("bits"))
+    for r in df.collect():
+        want = None if r["v"] is None else int(np.array([r["v"]]).view(np.int64)[0])
+        assert r["bits"] == want, r["v"]

@@ -185,6 +185,16 @@ def test_trailing_against_brute_force(spark):
     assert sorted((r["series_id"], day(r["day_utc"])) for r in silent) == brute_silent(rows)
 
 
+def test_windows_name_their_columns(spark):
+    rows = [(1, 2, d * DAY, 1, 0.0, 1.0, float(d), 1.0, 1) for d in range(10)]
+    df = trailing.trailing(spark.createDataFrame(rows, BUCKETS), windows=(3, 14, 45))
+    last = df.where("day = 9").first()
+    assert (last["count_3"], last["count_14"], last["count_45"], last["avg_3"], last["active_days_14"]) == (3, 10, 10, 8.0, 10)
+    assert "count_7" not in df.columns
+    with pytest.raises(ValueError):
+        trailing.trailing(spark.createDataFrame(rows, BUCKETS), windows=(0, 7))
+
+
 def test_trailing_of_nothing(spark):
     assert trailing.trailing(spark.createDataFrame([], BUCKETS)).count() == 0
 

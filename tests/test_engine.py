@@ -129,7 +129,8 @@ def test_crash_before_the_commit_of_a_write(spark, tmp_path):
     e = Engine(spark, str(tmp_path), flush_threshold=1 << 30)
     assert e.query(["metric=cpu"], 0, 1 << 60).count() == 0
     assert e.write(points(spark, 100), batch="b") == 100
-    assert e.vacuum()  # what the crash left
+    assert not e.vacuum()  # too young
+    assert e.vacuum(older_than_s=0)  # what the crash left
     assert e.query(["metric=cpu"], 0, 1 << 60).count() == 100
 
 
@@ -166,6 +167,102 @@ def test_bootstrap_adopts_blocks(spark, tmp_path):
     assert Engine(spark, str(tmp_path / "none")).bootstrap() == Manifest()
 
 
+MEM = "host=zz,metric=mem"
+
+
+def test_a_lost_manifest_keeps_series_apart(spark, tmp_path):
+    e = Engine(spark, str(tmp_path), flush_threshold=1 << 30)
+    e.write(points(spark, 5))
+    e.flush()
+    e.write(points(spark, 3, start=100))  # staged only
+    e.store.files.delete(f"{e.root}/_manifest")
+    e = Engine(spark, str(tmp_path), flush_threshold=1 << 30)
+    m = e.bootstrap()
+    assert (m.next_series, len(m.series_files), len(m.staged)) == (2, 1, 1)
+    assert e.query(["metric=cpu"], 0, 1 << 60).count() == 8
+    e.write(points(spark, 2, labels=MEM))
+    both = lambda: [e.query([f"metric={x}"], 0, 1 << 60).count() for x in ("cpu", "mem")]
+    assert both() == [8, 2] and sorted(r["series_id"] for r in e.series().collect()) == [1, 2]
+    e.vacuum(older_than_s=0)
+    Engine(spark, str(tmp_path)).bootstrap()
+    assert both() == [8, 2]
+
+
+def test_a_lost_manifest_does_not_bring_back_what_was_retired(spark, tmp_path):
+    e = Engine(spark, str(tmp_path), flush_threshold=1 << 30)
+    for k in range(2):
+        e.write(points(spark, 60, start=k * 60))
+        e.flush()
+    e.compact(60_000)
+    e.store.files.delete(f"{e.root}/_manifest")
+    e = Engine(spark, str(tmp_path))
+    m = e.bootstrap()
+    assert [len(m.level(n)) for n in range(4)] == [0, 1, 0, 0] and not m.staged and m.next_block == 4
+    assert e.scan(1).agg({"count": "sum"}).first()[0] == 120
+
+
+def test_results_outlive_commits_for_a_while(spark, tmp_path):
+    now = [BASE]
+    e = Engine(spark, str(tmp_path), flush_threshold=1 << 30, clock=lambda: now[0])
+    e.write(points(spark, 10))
+    staged = e.query(["metric=cpu"], 0, 1 << 60)
+    e.flush()
+    flushed = e.query(["metric=cpu"], 0, 1 << 60)
+    e.compact(60_000)
+    e.vacuum()
+    assert staged.count() == flushed.count() == 10
+    assert e.query(["metric=cpu"], 0, 1 << 60).count() == 1
+    versions = len(e.store.files.names(f"{e.root}/_manifest"))
+    now[0] += 3_600_000
+    assert {n.split("/")[0] for n in e.vacuum()} == {"L0", "staging"}
+    assert not e.manifest.retired
+    e.vacuum(older_than_s=0)
+    assert len(e.store.files.names(f"{e.root}/_manifest")) < versions
+    assert e.query(["metric=cpu"], 0, 1 << 60).count() == 1
+
+
+def test_unnamed_batches_leave_no_name(spark, tmp_path):
+    e = Engine(spark, str(tmp_path), flush_threshold=1 << 30)
+    e.write(points(spark, 1))
+    e.write(points(spark, 1), batch="mine")
+    assert e.manifest.batches == ("mine",)
+
+
+@pytest.mark.parametrize("distinct", [False, True])
+def test_small_blocks_become_few(spark, tmp_path, distinct):
+    e = Engine(spark, str(tmp_path), flush_threshold=1 << 30)
+    for k in range(5):
+        e.write(points(spark, 10 if k < 4 else 60, start=8 * k))  # blocks share two points each
+        e.flush()
+    before = sorted(map(tuple, e.scan(0).collect()))
+    old = e.query(["metric=cpu"], 0, 1 << 60)
+    done = e.consolidate(rows_per_block=100, distinct=distinct)
+    assert (done.ran, done.source_blocks, done.target_blocks) == (True, 4, 1)
+    after = sorted(map(tuple, e.scan(0).collect()))
+    assert after == before if not distinct else set(after) == set(before)
+    assert [b.row_count for b in e.manifest.level(0)] == [60, 40]
+    assert old.count() == len(before) and e.query(["metric=cpu"], BASE + 30, BASE + 31).count() == 1
+    assert not e.consolidate(rows_per_block=100).ran
+    e.vacuum(older_than_s=0)
+    assert sorted(map(tuple, e.scan(0).collect())) == after
+    with pytest.raises(ValueError):
+        e.consolidate(0)
+
+
+def test_crash_in_consolidation_changes_nothing(spark, tmp_path):
+    e = Engine(spark, str(tmp_path), flush_threshold=1 << 30, failpoint=crash_at("post_consolidate_write_pre_manifest"))
+    for k in range(3):
+        e.write(points(spark, 5, start=5 * k))
+        e.flush()
+    with pytest.raises(Crash):
+        e.consolidate(100)
+    e = Engine(spark, str(tmp_path))
+    e.bootstrap()
+    assert len(e.manifest.level(0)) == 3 and rows_of(e, 0) == 15
+    assert any("_aside" in n for n in e.vacuum(older_than_s=0)) and rows_of(e, 0) == 15
+    assert e.consolidate(100).target_blocks == 1 and rows_of(e, 0) == 15
+
+
 def test_manifest_round_trip_conflict_and_unknown_level(spark, tmp_path):
     store = ManifestStore(spark, str(tmp_path))
     assert store.load() == Manifest()
