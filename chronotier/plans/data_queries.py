@@ -74,8 +74,8 @@ def p5_slots(spark, d):
 _INNER = "CASE WHEN {a} * {b} <= 0 THEN 0 ELSE (3 * {h} + 3 * {g}) / ((2 * {g} + {h}) / {a} + ({g} + 2 * {h}) / {b}) END"
 _END = """CASE WHEN {b} IS NULL THEN {a} WHEN ((2 * {h} + {g}) * {a} - {h} * {b}) / ({h} + {g}) * {a} <= 0 THEN 0
   WHEN {a} * {b} <= 0 AND abs(((2 * {h} + {g}) * {a} - {h} * {b}) / ({h} + {g})) > abs(3 * {a}) THEN 3 * {a} ELSE ((2 * {h} + {g}) * {a} - {h} * {b}) / ({h} + {g}) END"""
-_S0 = "CASE WHEN dm IS NULL THEN " + _END.format(a="d", b="dp", h="h", g="hp") + " ELSE " + _INNER.format(a="dm", b="d", h="h", g="hm") + " END"
-_S1 = "CASE WHEN dp IS NULL THEN " + _END.format(a="d", b="dm", h="h", g="hm") + " ELSE " + _INNER.format(a="d", b="dp", h="hp", g="h") + " END"
+_S0 = "CASE WHEN dm IS NULL THEN " + _END.format(a="d", b="dp", h="h", g="hp") + " ELSE " + _INNER.format(a="dm", b="d", h="hm", g="h") + " END"
+_S1 = "CASE WHEN dp IS NULL THEN " + _END.format(a="d", b="dm", h="h", g="hm") + " ELSE " + _INNER.format(a="d", b="dp", h="h", g="hp") + " END"
 
 
 @query("""WITH k AS (SELECT series_id, step_ms, ts_ms - ts_ms % step_ms AS slot, min(ts_ms) AS first_ts, max(ts_ms) AS ts, arg_max(value, (ts_ms, seq, value)) AS y
