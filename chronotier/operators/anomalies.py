@@ -54,6 +54,8 @@ class Rules:
 #: Readings a shard, units (of this many slots) a shard is made of, rows in a batch of shards, about.
 SHARD_ROWS, UNIT_SLOTS, BATCH_ROWS = 4_096, 512, 100_000
 HALO_UNITS = 2
+#: Days on which an hour must have readings for a usual value.
+CYCLE_DAYS = 7
 
 
 def limits(series: DataFrame, specs: DataFrame) -> DataFrame:
@@ -200,6 +202,13 @@ def _side_median(v: np.ndarray, seg: np.ndarray, k: int, step: int) -> np.ndarra
     return np.where(have > 0, out, np.nan)
 
 
+def _sides(v: np.ndarray, seg: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Medians of up to ``k`` readings on the left and on the right; a side without readings is as the other."""
+    left, right = _side_median(v, seg, k, -1), _side_median(v, seg, k, 1)
+    left, right = np.where(np.isnan(left), right, left), np.where(np.isnan(right), left, right)
+    return np.where(np.isnan(left), v, left), np.where(np.isnan(right), v, right)
+
+
 def _runs(new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Run of each reading, and the first index and length of each run; ``new`` marks where one begins."""
     run = np.cumsum(new) - 1
@@ -237,9 +246,7 @@ def judge(seg: np.ndarray, ts: np.ndarray, value: np.ndarray, rules: Rules, dail
     free = length[run] < rules.run
     repeats = np.bincount(g, (~head & (step == 0) & free).astype(float), groups) / np.maximum(np.bincount(g, (~head & free).astype(float), groups), 1)
     changing = (repeats < rules.repeats) & (np.bincount(g, free.astype(float), groups) >= np.maximum(3, 0.15 * size))
-    left, right = _side_median(v, g, rules.side, -1), _side_median(v, g, rules.side, 1)
-    left, right = np.where(np.isnan(left), right, left), np.where(np.isnan(right), left, right)
-    left, right = np.where(np.isnan(left), v, left), np.where(np.isnan(right), v, right)
+    left, right = _sides(v, g, rules.side)
     some = np.where(np.isin(np.arange(groups), g[free]), True, False)
     basis = free | ~some[g]
     scatter = 1.4826 * _median_by(g[basis], np.abs(v - (left + right) / 2)[basis], groups)
@@ -266,11 +273,14 @@ def judge(seg: np.ndarray, ts: np.ndarray, value: np.ndarray, rules: Rules, dail
     alone = beyond * (beyond / np.maximum(np.maximum(beyond, gap), 1e-300))
     jump = np.maximum(_near_max(np.abs(step), g, 3, 4)[at], np.where(np.isfinite(nearest), nearest, 0))
     jump = alone * (jump / np.maximum(np.maximum(jump, rules.shoulder * alone), 1e-300)) ** 3
-    # What the daily cycle of the series, at the level of this shard, doesn't explain.
-    cycle = np.zeros(len(v)) if daily is None else daily[g, ((ts[lead] // 3_600_000) % 24).astype(np.int64)]
-    cycle = np.where(np.isnan(cycle), middle[g], cycle)
-    level = _median_by(g, v - cycle, groups)
-    season = np.minimum(np.abs(value - (cycle + level[g])[at]), jump)
+    # What is left of that once the daily cycle of the series is taken off the reading and its neighbours.
+    season = jump
+    if daily is not None:
+        cycle = daily[g, ((ts[lead] // 3_600_000) % 24).astype(np.int64)]
+        cycle = np.where(np.isnan(cycle), middle[g], cycle)
+        above, below = _sides(v - cycle, g, rules.side)
+        above, below, own = np.maximum(above, below)[at], np.minimum(above, below)[at], value - cycle[at]
+        season = np.minimum(np.maximum(np.maximum(own - above, below - own), 0.0), jump)
     # Readings of the run that ends just before a place, and of the one that begins just after it.
     place = np.arange(len(v))
     before = np.append(0, (place - first[run] + 1)[:-1])
@@ -342,12 +352,17 @@ def sharded(readings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def daily_cycle(readings: DataFrame) -> DataFrame:
-    """``series_id, hour, usual``: the median of each series in each hour of the UTC day, over all its readings.
+    """``series_id, hour, usual``: the median over days of the median of each series in each hour of the UTC day.
 
-    The median is within 1/100 of the ranks; its sketches are merged before and after the shuffle.
+    A day counts once, so that what happened in one hour of one day is not usual, and an hour with fewer than
+    ``CYCLE_DAYS`` days has no usual value. Medians are within 1/100 of the ranks; their sketches are merged before and
+    after the shuffle.
     """
-    hour = F.pmod(F.floor(F.col("ts_ms") / 3_600_000), F.lit(24)).cast("int")
-    return readings.groupBy("series_id", hour.alias("hour")).agg(F.percentile_approx("value", 0.5, 100).alias("usual"))
+    day, hour = F.floor(F.col("ts_ms") / 86_400_000), F.pmod(F.floor(F.col("ts_ms") / 3_600_000), F.lit(24)).cast("int")
+    median = F.percentile_approx("value", 0.5, 100)
+    per = readings.groupBy("series_id", day.alias("day"), hour.alias("hour")).agg(median.alias("value"))
+    usual = per.groupBy("series_id", "hour").agg(median.alias("usual"), F.count(F.lit(1)).alias("days"))
+    return usual.where(F.col("days") >= CYCLE_DAYS).drop("days")
 
 
 def score_readings(points: DataFrame, series: DataFrame, specs: DataFrame, rules: Rules | None = None, flagged_only: bool = False) -> DataFrame:
