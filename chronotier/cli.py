@@ -1,12 +1,14 @@
 """Command line: python -m chronotier.cli COMMAND DIR ... ; each command works on one engine directory.
 
 write DIR N | recover DIR | compact DIR [WIDTH_MS [MIN_AGE_S]] | compact-rollup DIR LEVEL [WIDTH_MS [MIN_AGE_S]] |
-query DIR START END MATCHER... | bench DIR | cardbench DIR N... | indexbench DIR N | query-bench DIR | loadtest DIR N |
-crashtest DIR FAILPOINT
+consolidate DIR [ROWS] | vacuum DIR [AGE_S] | query DIR START END MATCHER... | bench DIR | cardbench DIR N... | indexbench DIR N | query-bench DIR | loadtest DIR N |
+crashtest DIR FAILPOINT (kills its own process there)
 """
 
 from __future__ import annotations
 
+import os
+import signal
 import sys
 import time
 from collections.abc import Callable
@@ -51,6 +53,14 @@ def compact_rollup(spark: SparkSession, root: str, level: int, width: int = DAY_
     print(Engine(spark, root).compact_rollup(level, width, min_age))
 
 
+def consolidate(spark: SparkSession, root: str, rows: int = 1_000_000) -> None:
+    print(Engine(spark, root).consolidate(rows))
+
+
+def vacuum(spark: SparkSession, root: str, age: int = 3600) -> None:
+    print(f"deleted {len(Engine(spark, root).vacuum(age))} folders")
+
+
 def query(spark: SparkSession, root: str, start: int, end: int, matchers: list[str]) -> None:
     e = Engine(spark, root)
     router.in_order(e.query(matchers, start, end)).show(100, truncate=False)
@@ -117,11 +127,11 @@ def loadtest(spark: SparkSession, root: str, n: int) -> None:
 
 
 def crashtest(spark: SparkSession, root: str, point: str) -> None:
-    """Dies at the named failpoint; ``recover`` shows what is left."""
+    """The process kills itself at the named failpoint, without any cleaning up; ``recover`` shows what is left."""
 
     def die(at: str) -> None:
         if at == point:
-            raise SystemExit(f"crashed at {at}")
+            os.kill(os.getpid(), signal.SIGKILL)
 
     e = Engine(spark, root, flush_threshold=1 << 60, failpoint=die)
     e.write(generators.burst(spark, 100).drop("series_id"))
@@ -136,6 +146,7 @@ def main(argv: list[str]) -> None:
     name, root, rest = argv[0], argv[1], argv[2:]
     commands = {
         "write": lambda s: write(s, root, int(rest[0])), "recover": lambda s: recover(s, root), "compact": lambda s: compact(s, root, *map(int, rest)),
+        "consolidate": lambda s: consolidate(s, root, *map(int, rest)), "vacuum": lambda s: vacuum(s, root, *map(int, rest)),
         "compact-rollup": lambda s: compact_rollup(s, root, *map(int, rest)), "query": lambda s: query(s, root, int(rest[0]), int(rest[1]), rest[2:]),
         "bench": lambda s: bench(s, root), "cardbench": lambda s: cardbench(s, root, [int(x) for x in rest]), "indexbench": lambda s: indexbench(s, root, int(rest[0])),
         "query-bench": lambda s: query_bench(s, root), "loadtest": lambda s: loadtest(s, root, int(rest[0])), "crashtest": lambda s: crashtest(s, root, rest[0]),
