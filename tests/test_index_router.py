@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from chronotier.operators import blocks, index, router
 from chronotier.schemas import BLOCKS, POINTS, ROLLUP, SERIES
 
-SER = [(1, "host=h1,metric=cpu,region=us-east"), (2, "host=h2,metric=cpu,region=us-east"), (3, "host=h1,metric=mem,region=us-west"), (4, "host=h3,metric=cpu,region=us-east")]
+SER = [(1, "kind=flow,pump=p7,zone=north"), (2, "kind=flow,pump=p4,zone=north"), (3, "kind=heat,pump=p7,zone=south"), (4, "kind=flow,pump=p9,zone=north")]
 
 
 @pytest.fixture(scope="module")
@@ -17,28 +17,28 @@ def ids(df):
 
 
 def test_find_and_intersect(post):
-    assert ids(index.find(post, "host=h1")) == [1, 3]
-    assert ids(index.intersect(post, ["metric=cpu"])) == [1, 2, 4]
-    assert ids(index.intersect(post, ["metric=cpu", "region=us-east"])) == [1, 2, 4]
-    assert ids(index.intersect(post, ["metric=cpu", "region=us-east", "host=h1"])) == [1]
-    for none in (["metric=cpu", "region=us-west"], ["host=nope"], []):
+    assert ids(index.find(post, "pump=p7")) == [1, 3]
+    assert ids(index.intersect(post, ["kind=flow"])) == [1, 2, 4]
+    assert ids(index.intersect(post, ["kind=flow", "zone=north"])) == [1, 2, 4]
+    assert ids(index.intersect(post, ["kind=flow", "zone=north", "pump=p7"])) == [1]
+    for none in (["kind=flow", "zone=south"], ["pump=none"], []):
         assert ids(index.intersect(post, none)) == []
 
 
 def test_prefix_is_a_bag(spark):
-    p = index.postings(spark.createDataFrame([(i + 1, f"host={h},metric=cpu,region=us-east") for i, h in enumerate(["h1", "h10", "h100", "h2"])], SERIES))
-    assert ids(index.prefix(p, "host=h1")) == [1, 2, 3]
-    assert ids(index.prefix(p, "host=nope")) == []
+    p = index.postings(spark.createDataFrame([(i + 1, f"kind=flow,pump={h},zone=north") for i, h in enumerate(["p7", "p70", "p700", "p4"])], SERIES))
+    assert ids(index.prefix(p, "pump=p7")) == [1, 2, 3]
+    assert ids(index.prefix(p, "pump=none")) == []
     assert len(ids(index.prefix(p, ""))) == 12
-    assert [r["series_id"] for r in index.prefix_ordered(p, "host=h1").collect()] == [1, 2, 3]
+    assert [r["series_id"] for r in index.prefix_ordered(p, "pump=p7").collect()] == [1, 2, 3]
     assert index.prefix_ordered(p, "").count() == 12
 
 
 def test_sorted_postings_push_predicates(spark, tmp_path):
     p = index.postings(spark.createDataFrame(SER, SERIES))
     index.write_sorted(p, str(tmp_path / "post"), 2)
-    plan = index.prefix(spark.read.parquet(str(tmp_path / "post")), "host=")._jdf.queryExecution().toString()
-    assert "StringStartsWith(label,host=)" in plan
+    plan = index.prefix(spark.read.parquet(str(tmp_path / "post")), "pump=")._jdf.queryExecution().toString()
+    assert "StringStartsWith(label,pump=)" in plan
 
 
 def test_ids_are_stable_and_dense(spark, rows):
@@ -50,12 +50,20 @@ def test_ids_are_stable_and_dense(spark, rows):
     assert rows(index.assign_series(none, seen.limit(0))) == []
 
 
-BLOCK_ROWS = [(0, 1, 1, 1, 0, 500, 500, 0), (0, 2, 1, 1, 0, 10500, 10500, 0), (1, 3, 1, 1, 0, 20000, 20000, 0), (1, 4, 1, 1, 0, 30000, 30000, 0), (2, 5, 1, 1, 0, 40000, 40000, 0)]
+# Two blocks of points, two of hourly and one of daily buckets; closed times.
+BLOCK_ROWS = [(0, 11, 1, 9, 0, 7_000, 7_900, 0), (0, 12, 1, 9, 0, 8_100, 9_000, 0), (1, 13, 1, 4, 0, 2_000, 3_000, 0), (1, 14, 1, 4, 0, 4_000, 5_000, 0), (2, 15, 1, 2, 0, -500, 1_000, 0)]
 
 
 @pytest.mark.parametrize(
     ("start", "end", "want"),
-    [(400, 600, [(1, 1), (0, 2), (0, 1)]), (10000, 20500, [(1, 1), (1, 1), (0, 1)]), (0, 40000, [(2, 0), (2, 0), (0, 1)]), (0, 40001, [(2, 0), (2, 0), (1, 0)]), (49000, 51000, [(0, 2), (0, 2), (0, 1)])],
+    [
+        (7_950, 8_050, [(0, 2), (0, 2), (0, 1)]),  # between two blocks
+        (7_900, 8_100, [(1, 1), (0, 2), (0, 1)]),  # the last time of one, up to the first of the next
+        (7_901, 8_101, [(1, 1), (0, 2), (0, 1)]),
+        (3_000, 7_000, [(0, 2), (2, 0), (0, 1)]),
+        (-9_000, 9_001, [(2, 0), (2, 0), (1, 0)]),
+        (9_001, 99_000, [(0, 2), (0, 2), (0, 1)]),
+    ],
 )
 def test_route_counters(spark, start, end, want):
     out = {r["level"]: (r["scanned"], r["skipped"]) for r in router.route_stats(spark.createDataFrame(BLOCK_ROWS, BLOCKS), start, end).collect()}
@@ -63,19 +71,19 @@ def test_route_counters(spark, start, end, want):
 
 
 def test_stitch_keeps_levels_apart(spark, post, rows):
-    points = spark.createDataFrame([(1, 500, 1.0), (1, 10500, 2.0), (2, 500, 9.0)], POINTS)
-    l1 = spark.createDataFrame([(1, 20000, 1, 3.0, 3.0, 3.0, 3.0), (1, 30000, 1, 4.0, 4.0, 4.0, 4.0)], ROLLUP)
-    l2 = spark.createDataFrame([(1, 40000, 50, 2.0, 8.0, 5.0, 7.5)], ROLLUP)
+    points = spark.createDataFrame([(1, 7_000, 1.0), (1, 8_200, 2.0), (2, 7_000, 9.0)], POINTS)
+    l1 = spark.createDataFrame([(1, 2_000, 1, 3.0, 3.0, 3.0, 3.0), (1, 4_000, 1, 4.0, 4.0, 4.0, 4.0)], ROLLUP)
+    l2 = spark.createDataFrame([(1, -500, 50, 2.0, 8.0, 5.0, 7.5)], ROLLUP)
     q = lambda m, s, e: [(r["level"], r["ts_ms"]) for r in router.in_order(router.stitch(points, {1: l1, 2: l2}, post, m, s, e)).collect()]
-    h1 = ["host=h1", "metric=cpu"]
-    assert q(h1, 400, 600) == [(0, 500)]
-    assert q(h1, 10000, 20500) == [(0, 10500), (1, 20000)]
-    assert q(h1, 0, 40000) == [(0, 500), (0, 10500), (1, 20000), (1, 30000)]
-    assert q(h1, 0, 40001)[-1] == (2, 40000)
-    assert q(h1, 20001, 30000) == []  # the bucket that straddles the start is left out
-    assert q([], 0, 99999) == []
-    res = router.stitch(points, {1: l1, 2: l2}, post, ["metric=cpu"], 0, 1000)
-    matched = index.intersect(post, ["metric=cpu"])
+    mine = ["pump=p7", "kind=flow"]
+    assert q(mine, 6_900, 7_001) == [(0, 7_000)]
+    assert q(mine, 4_000, 8_201) == [(0, 7_000), (0, 8_200), (1, 4_000)]
+    assert q(mine, -499, 8_200) == [(0, 7_000), (1, 2_000), (1, 4_000)]
+    assert q(mine, -500, 8_200)[-1] == (2, -500)
+    assert q(mine, 2_001, 4_000) == []  # the bucket that straddles the start is left out
+    assert q([], 0, 99_999) == []
+    res = router.stitch(points, {1: l1, 2: l2}, post, ["kind=flow"], 6_000, 8_000)
+    matched = index.intersect(post, ["kind=flow"])
     assert rows(router.with_all_matched(res, matched)) == [(1, 1, 0, 0, 0), (2, 1, 0, 0, 0), (4, 0, 0, 0, 0)]
     nest = {r["series_id"]: r for r in router.nested(res, matched).collect()}
     assert nest[4]["raw"] == [] and nest[1]["raw"][0]["value"] == 1.0
