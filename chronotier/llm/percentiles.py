@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import day_number, finite, ordered_key
+from ..functions import day_number, finite, ordered_key, raw_bits
 from ..session import small, stage
 
 BITS = 6
@@ -47,7 +47,8 @@ def weighted(values: DataFrame, by: Sequence[str], value: str = "value") -> Data
     """
     v = F.col(value).cast("double") + 0.0
     rows = values.where(finite(F.col(value).cast("double"))).select(*by, v.alias("__v"), F.lit(1).cast("long").alias("__w"))
-    return rows.select(*by, "__v", ordered_key(F.col("__v")).alias("__key"), "__w")
+    rows = rows.select(*by, "__v", raw_bits(F.col("__v")).alias("__bits"), "__w")
+    return rows.select(*by, "__v", ordered_key(F.col("__bits")).alias("__key"), "__w")
 
 
 def _same(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> Column:
