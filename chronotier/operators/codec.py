@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import bucket_start, finite, ordered_key
+from ..functions import bucket_start, raw_bits
 
 # Fixed values of the format: prefix, prefix length, field length; a field reaches from -(2^(n-1) - 1) to 2^(n-1), the
 # upper end being written as all zeros, since a change of 0 has a code of its own.
@@ -292,17 +292,6 @@ def decode_rollup_streams(streams: DataFrame, by: list[str]) -> DataFrame:
     return out.select(*by, "bucket_start", "count", *[F.when(F.col(f"__{c}"), F.lit(None)).when(F.col(f"__nan_{c}"), float("nan")).otherwise(F.col(c)).alias(c) for c in STATISTICS])
 
 
-def raw_bits(v: Column) -> Column:
-    """The 64 bits of a double as LONG, by arithmetic that stays in generated code; all NaNs have the one usual pattern."""
-    sign, exponent = F.lit(-(1 << 63)), F.lit(0x7FF << 52)
-    key = ordered_key(F.when(finite(v), v).otherwise(0.0))
-    zero = F.when(v.cast("string") == "-0.0", sign).otherwise(F.lit(0).cast("long"))
-    return (
-        F.when(v.isNull(), F.lit(None).cast("long")).when(F.isnan(v), exponent.bitwiseOR(F.lit(1 << 51))).when(v == float("inf"), exponent).when(v == float("-inf"), exponent.bitwiseOR(sign))
-        .when(v == 0.0, zero).when(v > 0, key).otherwise(sign - key)
-    )
-
-
 def point_sizes(points: DataFrame, by: list[str]) -> DataFrame:
     """Each point with the bits that its time (``ts_bits``) and value (``value_bits``) take in the stream of its group.
 

@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from chronotier.functions import raw_bits
 from chronotier.operators import codec
 from chronotier.sources import generators
 
@@ -104,7 +105,7 @@ def test_rollup_streams_come_back(spark):
 
 def test_raw_bits(spark):
     values = [0.0, -0.0, 1.0, -1.0, 0.1, -123.456, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, float("inf"), float("-inf"), float("nan"), None, 1023.9999999999999]
-    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", codec.raw_bits(F.col("v")).alias("bits"))
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", raw_bits(F.col("v")).alias("bits"))
     for r in df.collect():
         want = None if r["v"] is None else int(np.array([r["v"]]).view(np.int64)[0])
         assert r["bits"] == want, r["v"]

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chronotier.functions import bucket_start, canonical_labels, day_number, label_map, ordered_key
+from chronotier.functions import bucket_start, canonical_labels, day_number, label_map, ordered_key, raw_bits
 from chronotier.operators import rollup
 from chronotier.schemas import POINTS, ROLLUP
 
@@ -91,7 +91,7 @@ def test_ordered_key_is_ieee_order(spark):
     vals = [0.0, -0.0, 1.0, -1.0, 5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, -1.7976931348623157e308, 4.0, 3.9999999999999996]
     vals += [struct.unpack("<d", struct.pack("<Q", rnd.getrandbits(64)))[0] for _ in range(2000)]
     vals = [v for v in vals if math.isfinite(v)]
-    got = spark.createDataFrame([(v,) for v in vals], "v double").select("v", ordered_key(F.col("v")).alias("k")).collect()
+    got = spark.createDataFrame([(v,) for v in vals], "v double").select("v", raw_bits(F.col("v")).alias("b")).select("v", ordered_key(F.col("b")).alias("k")).collect()
     for v, k in got:
         bits = struct.unpack("<q", struct.pack("<d", abs(v)))[0]
         assert k == (bits if v > 0 else -bits)
