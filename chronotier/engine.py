@@ -27,6 +27,8 @@ from .sources.manifest import Block, CommitConflict, Manifest, ManifestStore
 
 HOUR_MS, DAY_MS = 3_600_000, 86_400_000
 FOLDERS = ("L0", "L1", "L2", "L3", "staging", "series")
+#: Points that a block of consolidated ones holds, about.
+ROWS_PER_BLOCK = 1_000_000
 #: Marks a folder that a commit has taken off the lists; Spark reads past names that begin so.
 RETIRED = "_retired"
 
@@ -159,6 +161,27 @@ class Engine:
         self._commit(m, m.staged, m.swap([], [block] if block.row_count else []), "post_manifest_pre_wal_unlink", next_block=m.next_block + 1, staged=())
         return block
 
+    def flush_blocks(self, rows_per_block: int) -> list[Block]:
+        """As ``flush``, but makes blocks of about ``rows_per_block`` points, cut by time, however many are staged.
+
+        Bounds come from a sample. All blocks are written by one job, a task each, and taken in by one commit.
+        """
+        if rows_per_block <= 0:
+            raise ValueError("rows_per_block must be positive")
+        m = self.manifest
+        if not m.staged:
+            return []
+        # Rows are counted from file footers; keys written again make the blocks smaller.
+        staged = self.spark.read.schema(STAGED).option("recursiveFileLookup", "true").parquet(*m.staged).count()
+        n = max(1, -(-staged // rows_per_block))
+        rows = self.memtable(m).repartitionByRange(n, "ts_ms", "series_id").withColumn("block_id", F.spark_partition_id().cast("long") + m.next_block)
+        aside = self._write_aside(rows)
+        written = self._contents(self._read_aside(aside))
+        self.failpoint("post_l0_write_pre_manifest")
+        new = self._take_in(aside, written, dict.fromkeys(written, self.clock()))
+        self._commit(m, m.staged, m.swap([], new), "post_manifest_pre_wal_unlink", next_block=m.next_block + n, staged=())
+        return new
+
     def _commit(self, m: Manifest, gone: Sequence[str], new: Manifest, failpoint: str, **other) -> None:
         """Commits ``new``, with what it leaves behind as retired since now, and marks that on disk for a bootstrap."""
         self.store.commit(replace(new, retired=m.retired + tuple((p, self.clock()) for p in gone), **other))
@@ -205,7 +228,7 @@ class Engine:
         self._commit(m, [b.path for b in old], m.swap(old, [block]), before_delete, next_block=m.next_block + 1)
         return Compaction(True, len(old), sum(b.row_count for b in old), block.row_count)
 
-    def consolidate(self, rows_per_block: int = 1_000_000, distinct: bool = False) -> Consolidated:
+    def consolidate(self, rows_per_block: int = ROWS_PER_BLOCK, distinct: bool = False) -> Consolidated:
         """Puts the small L0 blocks into few blocks of about ``rows_per_block`` points and retires them in one commit.
 
         Blocks are bin-packed by their row counts, first fit in decreasing order; blocks that fill more than half a bin by
@@ -229,24 +252,36 @@ class Engine:
         rows = rows.join(F.broadcast(plan), "folder").drop("folder")  # an entry for each block of the manifest, which the driver holds
         if distinct:
             rows = rows.groupBy("series_id", "ts_ms", "value").agg(F.min("block_id").alias("block_id"))
-        aside, tag = f"{self.root}/L0/_aside-{uuid.uuid4().hex[:8]}", uuid.uuid4().hex[:8]
-        rows.repartition(len(number), "block_id").sortWithinPartitions("block_id", "series_id", "ts_ms").write.partitionBy("block_id").option("compression", "zstd").parquet(aside)
+        aside = self._write_aside(rows.repartition(len(number), "block_id"))
         found = self._contents(rows)
-        written = self._contents(self.spark.read.schema("series_id long, ts_ms long, value double, block_id long").parquet(aside))
+        written = self._contents(self._read_aside(aside))
         self.failpoint("post_consolidate_write_pre_manifest")
         if {k: v[:2] for k, v in found.items()} != {k: v[:2] for k, v in written.items()}:
             self.store.files.delete(aside)
             raise VerificationError("the consolidated blocks differ from their sources")
-        new = []
+        new = self._take_in(aside, written, {k: max(b.created_at for b, j in chosen if number[j] == k) for k in written})
+        sources = [b for b, _ in chosen]
+        self._commit(m, [b.path for b in sources], m.swap(sources, new), "post_consolidate_manifest_pre_retire", next_block=m.next_block + len(number))
+        return Consolidated(True, len(sources), len(new), sum(b.row_count for b in new))
+
+    def _write_aside(self, rows: DataFrame) -> str:
+        """Writes points to a folder for each ``block_id``, in a folder that no reader sees."""
+        aside = f"{self.root}/L0/_aside-{uuid.uuid4().hex[:8]}"
+        rows.sortWithinPartitions("block_id", "series_id", "ts_ms").write.partitionBy("block_id").option("compression", "zstd").parquet(aside)
+        return aside
+
+    def _read_aside(self, aside: str) -> DataFrame:
+        return self.spark.read.schema("series_id long, ts_ms long, value double, block_id long").parquet(aside)
+
+    def _take_in(self, aside: str, written: dict[int, tuple[int, int, int, int, int]], created_at: dict[int, int]) -> list[Block]:
+        """Moves what was written aside to where L0 blocks lie; they are to be committed next."""
+        tag, new = uuid.uuid4().hex[:8], []
         for k, (n, _, series, lo, hi) in sorted(written.items()):
             path = f"{self.root}/L0/{k:08d}-{tag}"
             self.store.files.rename(f"{aside}/block_id={k}", path)
-            age = max(b.created_at for b, j in chosen if number[j] == k)
-            new.append(Block(0, k, path, series, n, self.store.files.size(path), lo, hi, age))
+            new.append(Block(0, k, path, series, n, self.store.files.size(path), lo, hi, created_at[k]))
         self.store.files.delete(aside)
-        sources = [b for b, _ in chosen]
-        self._commit(m, [b.path for b in sources], m.swap(sources, new), "post_consolidate_manifest_pre_retire", next_block=m.next_block + len(number))
-        return Consolidated(True, len(sources), len(new), sum(b.row_count for b in new))
+        return new
 
     @staticmethod
     def _contents(rows: DataFrame) -> dict[int, tuple[int, int, int, int, int]]:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..engine import Engine
+from ..engine import ROWS_PER_BLOCK, Engine
 from ..functions import bucket_start
 from ..operators import blocks, codec, index, rollup, router
 from ..session import new_path, stage, table
@@ -615,10 +615,13 @@ def engine_consolidate(spark, d):
     points, t = model.event_points(spark, d), F.col("ts_ms")
     for part in (t < AGED, (t >= AGED) & (t < FRESH), t >= FRESH):
         e.write(points.where(part))
-        e.flush()
-    done = e.consolidate()
-    if (done.source_blocks, len(e.manifest.level(0))) != (3, 1):
-        raise RuntimeError(f"three blocks became {len(e.manifest.level(0))}")
+        e.flush_blocks(ROWS_PER_BLOCK // 4)
+    before = e.manifest.level(0)
+    e.consolidate()
+    after = e.manifest.level(0)
+    least = sorted(b.row_count for b in after)[:2]
+    if sum(b.row_count for b in before) != sum(b.row_count for b in after) or len(least) == 2 and sum(least) <= ROWS_PER_BLOCK:
+        raise RuntimeError(f"{len(before)} blocks became {len(after)}, the smallest of {least} points")
     return e.scan(0).join(e.series(), "series_id").select("labels", "ts_ms", "value")
 
 

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronotier.engine import Engine, with_retry
+from chronotier.plans import core_queries
 from chronotier.sources.manifest import Block, CommitConflict, Manifest, ManifestStore
 
 BASE = 1_700_000_000_000
@@ -263,6 +264,57 @@ def test_crash_in_consolidation_changes_nothing(spark, tmp_path):
     assert e.consolidate(100).target_blocks == 1 and rows_of(e, 0) == 15
 
 
+def test_a_flush_makes_blocks_of_bounded_size(spark, tmp_path):
+    e = Engine(spark, str(tmp_path), flush_threshold=1 << 30)
+    assert e.flush_blocks(100) == []
+    for labels in (CPU, CPU.replace("h1", "h2")):
+        e.write(points(spark, 1000, labels=labels))
+    e.write(points(spark, 10).withColumn("value", F.lit(-1.0)))  # the last write of a key wins here too
+    before = sorted(map(tuple, e.memtable().collect()))
+    new = e.flush_blocks(500)
+    m = e.manifest
+    assert m.level(0) == new and not m.staged and 4 <= len(new) <= 5 and max(b.row_count for b in new) < 1000
+    assert sorted(map(tuple, e.scan(0).collect())) == before and len(before) == sum(b.row_count for b in new) == 2000
+    assert {b.series_count for b in new} <= {1, 2} and all(e.scan(0, [b.block_id]).count() == b.row_count for b in new)
+    assert (min(b.min_ts for b in new), max(b.max_ts for b in new)) == (BASE, BASE + 999)
+    assert all(x.max_ts <= y.min_ts for x, y in zip(new, new[1:]))
+    e.write(points(spark, 5, start=5000))
+    assert e.flush().block_id > new[-1].block_id
+    e.vacuum(older_than_s=0)
+    assert rows_of(e, 0) == 2005 and Engine(spark, str(tmp_path)).consolidate(10_000).rows == 2005
+    e.write(points(spark, 1).where("false"))
+    assert e.flush_blocks(500) == [] and not e.manifest.staged
+    with pytest.raises(ValueError):
+        e.flush_blocks(0)
+
+
+@pytest.mark.parametrize("at", ["post_l0_write_pre_manifest", "post_manifest_pre_wal_unlink"])
+def test_crash_in_a_flush_to_blocks_loses_and_repeats_nothing(spark, tmp_path, at):
+    e = Engine(spark, str(tmp_path), flush_threshold=1 << 30, failpoint=crash_at(at))
+    e.write(points(spark, 20))
+    with pytest.raises(Crash):
+        e.flush_blocks(5)
+    e = Engine(spark, str(tmp_path))
+    e.bootstrap()
+    assert e.query(["metric=cpu"], 0, 1 << 60).count() == 20
+    e.flush_blocks(5)
+    assert rows_of(e, 0) == 20
+
+
+@pytest.mark.parametrize("parts", [(2_000, 2_000, 600_000), (0, 0, 10), (0, 0, 0)])
+def test_consolidating_query_at_any_size(spark, tmp_path, parts):
+    """A part of more than half a block, and parts without points."""
+    days = (1_704_400_000_000, 1_704_500_000_000, 1_705_200_000_000)
+    events = None
+    for k, (n, start) in enumerate(zip(parts, days, strict=True)):
+        some = spark.range(n).select((F.col("id") + k * 1_000_000).alias("event_id"), F.timestamp_millis(F.col("id") + start).alias("ts"), (F.col("id") % 3).alias("user_id"), F.lit("click").alias("event_type"), F.col("id").cast("double").alias("value"))
+        events = some if events is None else events.unionByName(some)
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    want = spark.read.parquet(str(tmp_path / "events.parquet")).select(F.format_string("event_type=%s,user_id=%d", "event_type", "user_id").alias("labels"), F.unix_millis("ts").alias("ts_ms"), "value")
+    got = core_queries.Q["engine_consolidate"](spark, str(tmp_path))
+    assert got.count() == sum(parts) and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
 def test_manifest_round_trip_conflict_and_unknown_level(spark, tmp_path):
     store = ManifestStore(spark, str(tmp_path))
     assert store.load() == Manifest()
